@@ -18,7 +18,7 @@ alphabetically first label; rows without item, field or person are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.session import drop_path, scratch, small_side
@@ -40,31 +40,37 @@ def vote_pairs(answers: DataFrame) -> DataFrame:
     """(job_id, field, labeller_id, value, label): each answer against each label given to its item."""
     votes = answers.repartition("job_id", "field")
     w = Window.partitionBy("job_id", "field")
-    return votes.withColumn("label", F.explode(F.collect_set("value").over(w)))
+    return votes.withColumn("labels", F.collect_set("value").over(w)).select("job_id", "field", "labeller_id", "value", F.explode("labels").alias("label"))
 
 
-def _posteriors(pairs: DataFrame, loglik: Column) -> DataFrame:
-    """``pairs`` with ``p``, the posterior of its label for its item, from per-row log likelihoods."""
+KEYS = ["field", "labeller_id", "label", "value"]
+
+
+def _posteriors(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``p``, the posterior of its label for its item, from the log likelihoods ``ll`` of its rows."""
     by_label, by_item = Window.partitionBy("job_id", "field", "label"), Window.partitionBy("job_id", "field")
-    x = pairs.withColumn("__ll", loglik).repartition("job_id", "field")
-    x = x.withColumn("__s", F.sum("__ll").over(by_label) + F.max("__prior").over(by_label)).withColumn("__m", F.count("*").over(by_label))
+    x = pairs.repartition("job_id", "field")
+    x = x.withColumn("__s", F.sum("ll").over(by_label) + F.max("__prior").over(by_label)).withColumn("__m", F.count("*").over(by_label))
     x = x.withColumn("__e", F.exp(F.col("__s") - F.max("__s").over(by_item)))
-    return x.withColumn("p", F.col("__e") / F.sum(F.col("__e") / F.col("__m")).over(by_item)).drop("__ll", "__s", "__m", "__e", "__prior")
-
-
-def _likelihoods(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Posteriors of ``pairs`` under expected counts (field, labeller_id, label, value, n)."""
-    k = counts.groupBy("field").agg(F.countDistinct("label").cast("double").alias("k"), F.sum("n").alias("field_n"))
-    prior = counts.groupBy("field", "label").agg(F.sum("n").alias("label_n"))
-    prior = prior.join(small_side(k), "field").select("field", "label", F.log((F.col("label_n") + 1) / (F.col("field_n") + F.col("k"))).alias("__prior"), "k")
-    right = F.sum(F.when(F.col("label") == F.col("value"), F.col("n")).otherwise(0.0))
-    person = counts.groupBy("labeller_id").agg(((right + PRIOR_N * PRIOR_ACCURACY) / (F.sum("n") + PRIOR_N)).alias("acc"))
-    rows = counts.groupBy("field", "labeller_id", "label").agg(F.sum("n").alias("row_n"))
-    cells = pairs.join(small_side(counts), ["field", "labeller_id", "label", "value"], "left").join(small_side(rows), ["field", "labeller_id", "label"], "left")
-    cells = cells.join(small_side(person), "labeller_id", "left").join(small_side(prior), ["field", "label"], "left")
+    return x.withColumn("p", F.col("__e") / F.sum(F.col("__e") / F.col("__m")).over(by_item)).drop("ll", "__s", "__m", "__e", "__prior")
+
+
+def _log_likelihoods(expected: DataFrame) -> DataFrame:
+    """(field, labeller_id, label, value, ll, __prior) of expected counts (field, labeller_id, label, value, n).
+
+    Every combination that the vote pairs hold is among the counts, so one inner join applies the table.
+    """
+    counts = expected.repartition("labeller_id")
+    right = F.when(F.col("label") == F.col("value"), F.col("n")).otherwise(0.0)
+    person, row = Window.partitionBy("labeller_id"), Window.partitionBy("labeller_id", "field", "label")
+    x = counts.withColumn("acc", (F.sum(right).over(person) + PRIOR_N * PRIOR_ACCURACY) / (F.sum("n").over(person) + PRIOR_N)).withColumn("row_n", F.sum("n").over(row))
+    by_label = counts.groupBy("field", "label").agg(F.sum("n").alias("label_n"))
+    in_field = Window.partitionBy("field")
+    k = F.count("*").over(in_field).cast("double")
+    prior = by_label.select("field", "label", k.alias("k"), F.log((F.col("label_n") + 1) / (F.sum("label_n").over(in_field) + k)).alias("__prior"))
+    x = x.join(prior, ["field", "label"])
     base = F.when(F.col("label") == F.col("value"), F.col("acc")).otherwise((1 - F.col("acc")) / F.greatest(F.col("k") - 1, F.lit(1.0)))
-    ll = F.log((F.coalesce("n", F.lit(0.0)) + SMOOTHING * base) / (F.coalesce("row_n", F.lit(0.0)) + SMOOTHING))
-    return _posteriors(cells, ll).drop("n", "row_n", "acc", "k")
+    return x.select("field", "labeller_id", "label", "value", F.log((F.col("n") + SMOOTHING * base) / (F.col("row_n") + SMOOTHING)).alias("ll"), "__prior")
 
 
 def _expected(posteriors: DataFrame) -> DataFrame:
@@ -78,16 +84,14 @@ def estimate(labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     vote_pairs(final_answers(labels)).write.parquet(path)
     pairs = spark.read.parquet(path)
     start = pairs.groupBy("job_id", "field", "label").agg((F.sum(F.when(F.col("label") == F.col("value"), 1.0).otherwise(0.0)) / F.count("*")).alias("p"))
-    expected, old = _expected(pairs.join(start, ["job_id", "field", "label"])), None
+    posteriors, old = pairs.join(start, ["job_id", "field", "label"]), None
     for i in range(rounds):
-        at = scratch(spark, f"counts{i}")
-        expected.write.parquet(at)
-        counts = spark.read.parquet(at)
+        at = scratch(spark, f"matrices{i}")
+        _log_likelihoods(_expected(posteriors)).write.parquet(at)
         if old:
             drop_path(spark, old)
         old = at
-        posteriors = _likelihoods(pairs, counts)
-        expected = _expected(posteriors)
+        posteriors = _posteriors(pairs.join(small_side(spark.read.parquet(at)), KEYS))
     return posteriors
 
 

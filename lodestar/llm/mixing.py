@@ -5,8 +5,8 @@ the largest for which each source can meet its share within its repeat cap, or a
 A source's rate (its tokens wanted over its tokens there) gives every text whole copies and a fractional inclusion
 probability. The flight phase moves these probabilities through the null space of the balancing
 constraints (number of texts, tokens) until they are 0 or 1: blocks of bounded size first, the few undecided
-units of all blocks again, until at most two per source remain, which the landing phase settles closest
-to the token target.
+units of all blocks again, until at most two per source remain. The landing phase settles these and a
+fixed few units held back for it by the choice closest to the token target.
 
 Only a digest, an id and a size per text are shuffled. Defined results: null and empty texts are not used;
 sources without a target are not used, sources without text get an actual share of 0; a share of 0 or null uses
@@ -24,6 +24,8 @@ from lodestar.session import materialize, small_side
 
 #: Units of one flight (bounds a task's memory), seed of its random moves, and most sources with a target.
 BLOCK, SEED, MAX_SOURCES = 20_000, 20_240_101, 100_000
+#: Units of the landing problem, besides the at most two left by the flight.
+LARGEST, MIDDLE = 8, 6
 #: Probabilities closer than this to 0 or 1 are decided.
 EPS = 1e-9
 
@@ -59,17 +61,21 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return p
 
 
+def held_for_landing(x: np.ndarray) -> np.ndarray:
+    """Units kept out of the last flight: the largest, which otherwise stay undecided longest, and some of middle size to even out."""
+    order = np.argsort(-x, kind="stable")
+    middle = order[LARGEST:][len(order[LARGEST:]) // 2 :][:MIDDLE]
+    return np.concatenate([order[:LARGEST], middle])
+
+
 def land(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Decide the last undecided units: the choice whose size is closest to the expected one, then the fewest units."""
+    """Decide the last undecided units: the choice whose size, then whose number, is closest to the expected one."""
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    want, best = float((p[open_] * x[open_]).sum()), None
-    for bits in range(1 << len(open_)):
-        chosen = [(bits >> i) & 1 for i in range(len(open_))]
-        key = (abs(float(np.dot(chosen, x[open_])) - want), sum(chosen), bits)
-        if best is None or key < best[0]:
-            best = (key, chosen)
+    bits = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    off = np.abs(bits @ x[open_] - float((p[open_] * x[open_]).sum()))
+    number = np.abs(bits.sum(axis=1) - float(p[open_].sum()))
     out = p.copy()
-    out[open_] = best[1]
+    out[open_] = bits[np.lexsort((number, np.round(off, 6)))[0]]
     return out
 
 
@@ -82,9 +88,14 @@ def _fly(final: bool):
         rng = np.random.default_rng([SEED, int(pdf["block"].iloc[0]) & 0xFFFFFFFF, len(pdf)])
         order = rng.permutation(len(pdf))
         x = pdf["n_tokens"].to_numpy(dtype=float)[order]
-        p = flight(pdf["p"].to_numpy()[order], x, rng)
+        p = pdf["p"].to_numpy()[order].astype(float)
         if final:
+            flying = np.ones(len(p), dtype=bool)
+            flying[held_for_landing(x)] = False
+            p[flying] = flight(p[flying], x[flying], rng)
             p = land(p, x)
+        else:
+            p = flight(p, x, rng)
         out = np.empty(len(p))
         out[order] = p
         return pdf.assign(p=out)[["source", "doc_id", "n_tokens", "p", "block"]]

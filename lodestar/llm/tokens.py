@@ -9,6 +9,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Folder and file of the tokenizer; the split pattern its byte-level merges were made for (fixed value).
 FOLDER, FILE = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -30,7 +31,7 @@ def load(folder: str = FOLDER, file: str = FILE):
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), folder: str = FOLDER, file: str = FILE) -> DataFrame:
     """(key, keep..., n_tokens) of whole texts; null texts have 0 tokens."""
     src = docs.select(key, *keep, F.col(text).alias("__text"))
-    schema = src.drop("__text").schema.add("n_tokens", "bigint")
+    schema = src.drop("__text").schema.add("n_tokens", LongType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = load(folder, file)
