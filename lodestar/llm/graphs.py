@@ -1,0 +1,79 @@
+"""Distributed graph steps: connected components and average-linkage clustering. No component is gathered in one place."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.session import drop_path, scratch
+
+#: Most rounds; each at least halves what is left, so this is never reached on data that fits a disk.
+MAX_ROUNDS = 64
+
+
+def _kept(df: DataFrame, name: str, old: str | None) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder; the table it was made from is removed."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    if old:
+        drop_path(df.sparkSession, old)
+    return df.sparkSession.read.parquet(path), path
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): the least node of each connected component, by alternating large and small stars.
+
+    Both steps attach nodes to the least neighbour, so a hub's edges move away from it instead of
+    meeting in one task; the number of rounds grows with the logarithm of the longest chain.
+    """
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    cur, path = _kept(both, "cc", None)
+    for _ in range(MAX_ROUNDS):
+        sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        nxt, new_path = _kept(small, "cc", None)
+        same = nxt.count() == cur.count() and nxt.exceptAll(cur).limit(1).count() == 0
+        drop_path(cur.sparkSession, path)
+        cur, path = nxt, new_path
+        if same:
+            break
+    leaves = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
+
+
+def average_linkage(edges: DataFrame, threshold: float) -> DataFrame:
+    """(node, cluster) of nodes with edges (u, v, sim), u < v; pairs without an edge have similarity 0.
+
+    Each round merges every pair of clusters that are each other's closest; average linkage is
+    reducible, so this gives the clusters of one-merge-at-a-time agglomeration down to ``threshold``.
+    Clusters are named by their least node.
+    """
+    cur, path = _kept(edges.select("u", "v", F.col("sim").alias("s"), F.lit(1).cast("bigint").alias("nu"), F.lit(1).cast("bigint").alias("nv")), "links", None)
+    nodes = cur.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    names, names_path = _kept(nodes.select("node", F.col("node").alias("cluster")), "names", None)
+    for _ in range(MAX_ROUNDS):
+        near = cur.withColumn("avg", F.col("s") / (F.col("nu") * F.col("nv"))).where(F.col("avg") >= threshold)
+        rank = F.struct(F.col("avg"), (-F.xxhash64("u", "v")).alias("t"), F.col("u"), F.col("v"))
+        ends = near.select(rank.alias("r"), F.explode(F.array("u", "v")).alias("n"))
+        best = ends.groupBy("n").agg(F.max("r").alias("r"))
+        merges = best.groupBy("r.u", "r.v").agg(F.count("*").alias("c")).where("c = 2").select(F.col("v").alias("old"), F.col("u").alias("new"))
+        merges, merges_path = _kept(merges, "merges", None)
+        if merges.limit(1).count() == 0:
+            drop_path(cur.sparkSession, merges_path)
+            break
+        names, names_path = _kept(names.join(merges, names["cluster"] == merges["old"], "left").select("node", F.coalesce("new", "cluster").alias("cluster")), "names", names_path)
+        size = names.groupBy("cluster").agg(F.count("*").alias("n"))
+        x = cur.select("u", "v", "s")
+        for end in "uv":
+            m = merges.select(F.col("old").alias(end), F.col("new").alias("__new"))
+            x = x.join(m, end, "left").withColumn(end, F.coalesce("__new", end)).drop("__new")
+        x = x.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "s").groupBy("u", "v").agg(F.sum("s").alias("s"))
+        for end in "uv":
+            x = x.join(size.select(F.col("cluster").alias(end), F.col("n").alias(f"n{end}")), end)
+        cur, path = _kept(x.select("u", "v", "s", "nu", "nv"), "links", path)
+        drop_path(cur.sparkSession, merges_path)
+    return names

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.catalog import table
-from lodestar.llm import canonical, consensus, mixing, packing, sentences, tokens
+from lodestar.llm import canonical, consensus, entities, history, mixing, packing, sentences, tokens
 from lodestar.llm.oracle import ORACLE  # noqa: F401
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.linked_pairs(entities.link_names(table(spark, folder, "companies")))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return history.repeated_postings(table(spark, folder, "posting_batches"))
+
+
 def _canonical(spark: SparkSession, folder: str) -> DataFrame:
     values = canonical.typed_values([(table(spark, folder, "jobs"), "id", ["location_raw", "department"]), (table(spark, folder, "jobs_app"), "id", ["seniority_level"])])
     return canonical.map_values(values, table(spark, folder, "canonical_values"))
@@ -60,4 +68,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_reliability, p6_agreement, p8_packed, p8_fill, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_unmatched, p6_found, p6_reliability, p6_agreement, p7_found, p8_packed, p8_fill, p9_mix, p9_shares, p10_found)}
