@@ -56,7 +56,7 @@ NOT_PAY = ["bonus", "sign-on bonus", "signing bonus", "sign-on", "equity", "stoc
 #: Currencies whose minor unit is the unit itself.
 NO_MINOR = {"JPY"}
 DOLLARS = {"USD", "CAD", "AUD"}
-NUMBER = re.compile(r"\d{1,3}(?:[   '’]\d{3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:[.,]\d+)*")
+NUMBER = re.compile(r"\d{1,3}(?:[ \u00a0\u2009\u202f'\u2019]\d{3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:[.,]\d+)*")
 JOIN = re.compile(r"\s*(?:-|–|—|~|to|bis|à|a|until)\s*")
 
 
@@ -74,7 +74,7 @@ def aliases() -> dict[str, tuple]:
 
 def number(text: str) -> Decimal:
     """A number in any of the usual ways to write thousands and decimals."""
-    s = re.sub(r"[   '’]", "", text)
+    s = re.sub(r"[ \u00a0\u2009\u202f'\u2019]", "", text)
     marks = [c for c in s if c in ".,"]
     if marks:
         last, tail = marks[-1], len(s) - max(s.rfind("."), s.rfind(",")) - 1
