@@ -15,6 +15,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 # What the vocabularies and patterns must hold for equal results.
 NYC = r"(?i)\b(new york|nyc|manhattan|brooklyn|queens|bronx|staten island)\b"
@@ -183,7 +184,7 @@ def int_in_range(c: Column, low: int, high: int) -> Column:
 # rules without a built-in: Arrow batches
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_url(urls: pd.Series) -> pd.Series:
     """One posting, one URL: no tracking parameters, sorted query, no fragment, no trailing slash."""
 
@@ -200,7 +201,7 @@ def normalize_url(urls: pd.Series) -> pd.Series:
     return urls.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def search_source_id(blobs: pd.Series, tokens: pd.Series, titles: pd.Series, urls: pd.Series) -> pd.Series:
     """The id inside a base64 JSON blob, else a fingerprint of token, title and (normalised) address."""
 
@@ -217,7 +218,7 @@ def search_source_id(blobs: pd.Series, tokens: pd.Series, titles: pd.Series, url
     return pd.Series([one(*x) for x in zip(blobs, tokens, titles, urls)], index=blobs.index)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_html(markup: pd.Series) -> pd.Series:
     """Readable text of escaped or plain markup, white space collapsed, at most 20,000 characters; null if nothing is left."""
     tag = re.compile(r"""<(?:"[^"]*"|'[^']*'|[^'">])*>""")
@@ -232,7 +233,7 @@ def strip_html(markup: pd.Series) -> pd.Series:
     return markup.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def search_key(raw: pd.Series) -> pd.Series:
     """Search text to compare by: no accents, case folded, letters, digits, ``+`` and ``#`` only."""
 
@@ -249,7 +250,7 @@ def search_key(raw: pd.Series) -> pd.Series:
 def bounded_json(limit: int, long_field: str):
     """A function that keeps JSON valid under a size limit by cutting its longest field."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
         def one(t):
             if t is None or len(t) <= limit:
@@ -273,7 +274,7 @@ def bounded_json(limit: int, long_field: str):
 def path_present(path: str):
     """A function that says whether a dotted path leads to a value in JSON, through lists and objects."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def run(texts: pd.Series) -> pd.Series:
         def walk(node, keys):
             if isinstance(node, list):

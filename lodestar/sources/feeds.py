@@ -1,0 +1,131 @@
+"""Feed and page readers: paged JSON as a data source, RSS, sitemaps, listings, JSON-LD, comment threads, JSON lines."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.functions import scalar as S
+from lodestar.sources.paged import PagedJson
+
+
+def read_pages(spark: SparkSession, folder: str, rows: str = "rows") -> DataFrame:
+    """(position, total, row) of all pages in a folder."""
+    spark.dataSource.register(PagedJson)
+    return spark.read.format("paged_json").option("path", folder).option("rows", rows).load()
+
+
+def crawl_report(pages: DataFrame, key: str, page_size: int, max_rows: int) -> DataFrame:
+    """(collected, distinct_rows, total, truncated, short): whether a crawl hit its cap or misses a page or more of what was reported."""
+    k = F.get_json_object("row", f"$.{key}")
+    r = pages.agg(F.count("*").alias("collected"), F.countDistinct(k).alias("distinct_rows"), F.max("total").alias("total"))
+    return r.select("*", (F.col("collected") >= max_rows).alias("truncated"), ((F.col("total") > 0) & (F.col("total") - F.col("distinct_rows") >= page_size)).alias("short"))
+
+
+def facet_slices(facets: dict[str, dict[str, int]], total: int, cap: int) -> tuple[str, list[str]] | None:
+    """The facet with fewest slices that each stay under the cap and together reach the total."""
+    fits = [(len(v), k) for k, v in facets.items() if v and max(v.values()) < cap and sum(v.values()) >= total]
+    return (min(fits)[1], sorted(facets[min(fits)[1]])) if fits else None
+
+
+def reconciled(collected: int, before: int, after: int) -> bool:
+    """Whether a crawl's count lies between the counts before and after it, within 2 % or 5 rows."""
+    low, high = min(before, after), max(before, after)
+    slack = max(5, high * 2 // 100)
+    return low - slack <= collected <= high + slack
+
+
+def read_rss(spark: SparkSession, path: str) -> DataFrame:
+    """Items of RSS files with a declared schema."""
+    return spark.read.format("xml").option("rowTag", "item").schema("guid string, title string, pubDate string, region string, category string, link string, description string").load(path)
+
+
+def sitemap_urls(texts: DataFrame, column: str) -> DataFrame:
+    """(kind, url): locations of sitemap texts; kind is ``urlset`` or ``index``."""
+    kind = F.when(F.col(column).contains("<sitemapindex"), "index").otherwise("urlset")
+    return texts.select(kind.alias("kind"), F.explode(F.regexp_extract_all(column, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url"))
+
+
+def listing_cards(pages: DataFrame, column: str, key: str) -> DataFrame:
+    """(key, company, title, orphans): job cards of listing pages. A title needs a company anchor before it within its card; others are dropped and counted."""
+    card = re.compile(r'data-id="company"[^>]*>([^<]*)<|data-id="title"[^>]*>([^<]*)<|(data-id="card")')
+    inner = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, text in zip(b["k"], b["t"]):
+                company, orphans, found = None, 0, []
+                for m in card.finditer(text or ""):
+                    if m.group(3):
+                        company = None
+                    elif m.group(1) is not None:
+                        company = m.group(1).strip()
+                    elif company:
+                        found.append((company, m.group(2).strip()))
+                        company = None
+                    else:
+                        orphans += 1
+                out += [(k, c, t, orphans) for c, t in found]
+            yield pd.DataFrame(out, columns=[key, "company", "title", "orphans"])
+
+    return pages.select(F.col(key).alias("k"), F.col(column).alias("t")).mapInPandas(run, f"{key} {inner}, company string, title string, orphans bigint")
+
+
+def json_ld_postings(pages: DataFrame, column: str, key: str, depth: int = 12) -> DataFrame:
+    """(key, title, description): JobPosting objects of a page's JSON-LD blocks, found through graphs and lists; bad blocks are skipped."""
+    block = re.compile(r'<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', re.S | re.I)
+    inner = pages.schema[key].dataType.simpleString()
+
+    def walk(node, level: int) -> Iterator[dict]:
+        if level > depth:
+            return
+        if isinstance(node, list):
+            for x in node:
+                yield from walk(x, level + 1)
+        elif isinstance(node, dict):
+            kinds = node.get("@type", [])
+            kinds = kinds if isinstance(kinds, list) else [kinds]
+            if any(str(k).lower() == "jobposting" for k in kinds):
+                yield node
+            for v in node.values():
+                if isinstance(v, (list, dict)):
+                    yield from walk(v, level + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, text in zip(b["k"], b["t"]):
+                for m in block.finditer(text or ""):
+                    try:
+                        out += [(k, p.get("title"), p.get("description")) for p in walk(json.loads(m.group(1)), 0)]
+                    except ValueError:
+                        continue
+            yield pd.DataFrame(out, columns=[key, "title", "description"])
+
+    return pages.select(F.col(key).alias("k"), F.col(column).alias("t")).mapInPandas(run, f"{key} {inner}, title string, description string")
+
+
+def comment_header(c):
+    """(company, title) of a comment's pipe-separated first line: the company comes first, the title is the segment that looks most like a role."""
+    parts = F.transform(F.split(F.split(c, "<p>|\n").getItem(0), r"\s*\|\s*"), lambda x: F.trim(x))
+    rest = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda x: x != "")
+    scored = F.transform(rest, lambda x, i: F.struct(S.segment_score(x).alias("s"), (-i).alias("i"), x.alias("x")))
+    return F.element_at(parts, 1), F.array_max(scored).getField("x")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+    """JSON lines with a declared schema; a bad line fails the read, or is skipped."""
+    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+
+
+def cached_response(key_parts: DataFrame, cache: DataFrame, now, ttl_hours: int = 24) -> DataFrame:
+    """Requests with the cached body of the same digest that is younger than the lifetime; null where a fetch is due."""
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(key_parts.columns)])), 256)
+    fresh = cache.where(F.col("stored_at") > now - F.expr(f"interval {ttl_hours} hours")).groupBy("digest").agg(F.max_by("body", "stored_at").alias("body"))
+    return key_parts.withColumn("digest", digest).join(fresh, "digest", "left")
