@@ -105,7 +105,7 @@ def _fly(final: bool):
 
 def mix_units(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(doc_id, source, n_tokens): one row per distinct text, of its first document."""
-    d = docs.where("text is not null and source is not null").select("doc_id", "source", F.md5("text").alias("digest")).join(sizes, "doc_id").where("n_tokens > 0")
+    d = docs.where("text is not null and source is not null").select("doc_id", "source", F.md5("text").alias("digest")).join(sizes.select("doc_id", "n_tokens"), "doc_id").where("n_tokens > 0")
     one = d.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("x"))
     return one.select("x.doc_id", "x.source", "x.n_tokens")
 
