@@ -137,10 +137,13 @@ class Matcher:
         self.counts = np.array([char_counts(s) for s in self.plain], dtype=np.int32).reshape(len(self.plain), -1)
         self.noise = NOISE.get(self.ref_field, set())
 
-    def mention(self, folded: str) -> int | None:
-        """Entry of the longest mention; the earlier one of equally long mentions of different entries."""
+    def mention(self, folded: str) -> tuple[int, int] | None:
+        """(entry, length) of the longest mention; the earlier one of equally long mentions of different entries."""
         hits = self.automaton.find(folded)
-        return max(hits, key=lambda m: (m[1] - m[0], -m[0]))[3] if hits else None
+        if not hits:
+            return None
+        a, b, _, ref = max(hits, key=lambda m: (m[1] - m[0], -m[0]))
+        return ref, b - a
 
     def closest(self, folded: str) -> tuple[int, float]:
         """(entry, similarity) by token sets; -1 if nothing is close enough or two entries are equally close."""
@@ -165,12 +168,12 @@ class Matcher:
         return top[0]
 
     def __call__(self, value: str) -> tuple[int, float]:
-        """(entry or -1, score): 2 + mention length share for mentions, else similarity."""
+        """(entry or -1, score): over 2 for mentions, more for longer ones; else the similarity."""
         # what follows a colon states the value ("mid-senior: mid")
-        for part in ([value.rsplit(":", 1)[1]] if ":" in value else []) + [value]:
+        for part, base in ([(value.rsplit(":", 1)[1], 3.0)] if ":" in value else []) + [(value, 2.0)]:
             folded = fold(part)
-            if folded and (ref := self.mention(folded)) is not None:
-                return ref, 2.0
+            if folded and (got := self.mention(folded)) is not None:
+                return got[0], base + got[1] / 1e6
         return self.closest(fold(value))
 
 
@@ -228,14 +231,18 @@ def map_values(values: DataFrame, canonical: DataFrame, max_entries: int = MAX_E
     if is_small(ref, max_entries):
         return _mapped(values, [tuple(r) for r in ref.collect()])
     blocks = -(-ref.count() // max_entries) * 2
-    ref = ref.withColumn("__block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)))
+    # entries that share a bare name meet in one block, so that it stays open between them
+    ref = ref.withColumn("__block", F.pmod(F.xxhash64(F.lower(F.trim(F.substring_index("ref_value", ",", 1)))), F.lit(blocks)))
     distinct = values.select(F.lit("").alias("id"), "field_name", "value").distinct()
     best = None
     for i in range(blocks):
         part = _mapped(distinct, [tuple(r) for r in ref.where(F.col("__block") == i).drop("__block").collect()])
         best = part if best is None else best.unionByName(part)
-    best = best.groupBy("field_name", "value").agg(F.max(F.struct("score", "ref_id")).alias("b"))
-    return values.join(best, ["field_name", "value"]).select("id", "field_name", "value", F.col("b.ref_id").alias("ref_id"), F.col("b.score").alias("score"))
+    best = best.groupBy("field_name", "value").agg(F.sort_array(F.collect_list(F.struct("score", "ref_id")), asc=False).alias("b"))
+    top, second = F.col("b").getItem(0), F.get("b", F.lit(1))
+    close = F.coalesce((top["score"] < 2) & (top["score"] - second["score"] < LEAD), F.lit(False))
+    best = best.select("field_name", "value", F.when(close, -1).otherwise(top["ref_id"]).alias("ref_id"), F.when(close, 0.0).otherwise(top["score"]).alias("score"))
+    return values.select("id", "field_name", "value").join(best, ["field_name", "value"]).select("id", "field_name", "value", "ref_id", "score")
 
 
 def typed_values(tables: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:

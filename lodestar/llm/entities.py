@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.graphs import average_linkage, components
+from lodestar.operators.graphs import average_linkage, components
 from lodestar.llm.names import parse_name, parse_token
 from lodestar.session import materialize
 

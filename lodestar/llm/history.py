@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.canonical import edit_distance
-from lodestar.llm.graphs import components
+from lodestar.operators.graphs import components
 from lodestar.llm.names import parse_name, parse_token
 from lodestar.session import bounded_rows, drop_path, scratch, small_side
 

@@ -78,7 +78,7 @@ def parse_name(raw: str | None) -> Name:
         initial = lone[0]
         rest = [w for w in rest if len(w) > 1]
     given = next((i for i, w in enumerate(rest) if w in GIVEN_OF), 0) if len(rest) > 2 else 0
-    rest = [rest[given], *rest[:given], *rest[given + 1 :]]  # "Dufutu Rorpranchel, Theodore"
+    rest = rest[given : given + 1] + rest[:given] + rest[given + 1 :]  # "Dufutu Rorpranchel, Theodore"
     if len(rest) > 1 and rest[0] in GIVEN_OF:
         founder, rest = GIVEN_OF[rest[0]], rest[1:]
     elif len(rest) > 1 and len(rest[0]) == 1:

@@ -192,8 +192,8 @@ class Reader:
             return not (len(head) == 2 and head[0].lower() in ARTICLES)
         if len(word) == 1 and word.isalpha() and word.isupper() and latin(word):
             return False  # an initial
-        if len(word) == 1 and word.isalpha() and latin(word) and t[max(start, k - 1) : k] in ("", " ", "\n", "(", "."):
-            return False
+        if len(word) == 1 and word.isalpha() and latin(word) and (nxt.islower() or nxt.isdigit()):
+            return False  # "u. a. 9"
         if word.isdigit() and len(word) <= 2:
             m = re.match(r"[^\W\d_]+", t[j : j + 24])
             if m and m.group().lower() in ORDINAL_NOUNS:
