@@ -60,27 +60,36 @@ def similar_forms(forms: DataFrame, cosine: float = COSINE, edits: float = EDITS
     vectors = materialize(gram_vectors(forms), "grams")
     order = Window.partitionBy("form").orderBy("df", "gram")
     used = F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    prefix = vectors.withColumn("left", F.sqrt(F.greatest(1 - used, F.lit(0.0)))).where(F.col("left") >= cosine - 1e-9).select("form", "gram", "left")
-    a = prefix.select(F.col("form").alias("u"), "gram", F.col("left").alias("lu"))
-    b = prefix.select(F.col("form").alias("v"), "gram", F.col("left").alias("lv"))
+    spelled = forms.select("form", F.replace("form", F.lit(" "), F.lit("")).alias("flat"), F.array_join(F.reverse(F.split("form", " ")), "").alias("turned"))
+    spelled = spelled.withColumn("bits", bigram_bits("flat"))
+    prefix = vectors.withColumn("left", F.sqrt(F.greatest(1 - used, F.lit(0.0)))).where(F.col("left") >= cosine - 1e-9).select("form", "gram", "left").join(spelled, "form")
+    a = prefix.select(F.col("form").alias("u"), "gram", F.col("left").alias("lu"), F.col("flat").alias("fu"), F.col("turned").alias("tu"), F.col("bits").alias("mu"))
+    b = prefix.select(F.col("form").alias("v"), "gram", F.col("left").alias("lv"), F.col("flat").alias("fv"), F.col("turned").alias("tv"), F.col("bits").alias("mv"))
     # the first gram two vectors share bounds their cosine by what is left of each from there on
-    pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("u") < F.col("v")) & (F.col("lu") * F.col("lv") >= cosine - 1e-9)).where(close_spelling(F.col("u"), F.col("v"), edits)).select("u", "v").distinct()
+    bound = (F.col("lu") * F.col("lv") >= cosine - 1e-9) & (F.col("u") < F.col("v"))
+    pairs = a.join(b, "gram").where(bound & close_spelling(edits)).select("u", "v").distinct()
     packed = vectors.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("vec"))
     x = pairs.join(packed.select(F.col("form").alias("u"), F.col("vec").alias("vu")), "u").join(packed.select(F.col("form").alias("v"), F.col("vec").alias("vv")), "v")
     dot = F.aggregate(F.map_entries("vu"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("vv", e["key"]), F.lit(0.0)))
     return x.select("u", "v", dot.alias("sim")).where(F.col("sim") >= cosine)
 
 
-def close_spelling(u: Column, v: Column, least: float) -> Column:
-    """Whether two forms are close by edit distance, their words in either order."""
-    def joined(c: Column) -> Column:
-        return F.replace(c, F.lit(" "), F.lit(""))
+def bigram_bits(column: str) -> Column:
+    """64 bits, one set for the hash of each pair of neighbouring letters: one edit flips at most four of them."""
+    return F.expr(f"aggregate(transform(sequence(1, greatest(length({column}) - 1, 1)), i -> shiftleft(1L, cast(pmod(hash(substring({column}, i, 2)), 64) as int))), 0L, (a, x) -> a | x)")
 
-    def turned(c: Column) -> Column:
-        return F.array_join(F.reverse(F.split(c, " ")), "")
 
-    longest = F.greatest(F.length(joined(u)), F.length(joined(v)))
-    return F.least(F.levenshtein(joined(u), joined(v)), F.levenshtein(turned(u), joined(v)), F.levenshtein(joined(u), turned(v))) <= (1 - least) * longest
+def close_spelling(least: float) -> Column:
+    """Whether forms spelled fu and fv (turned: tu, tv; bigrams mu, mv) are close by edit distance, their words in either order.
+
+    Lengths and bigram bits, which no close pair fails, are compared first; turned spellings only where they
+    differ, and turning changes at most two bigrams.
+    """
+    fu, fv, tu, tv = (F.col(c) for c in ("fu", "fv", "tu", "tv"))
+    most = F.floor((1 - least) * F.greatest(F.length(fu), F.length(fv)))
+    possible = (F.abs(F.length(fu) - F.length(fv)) <= most) & (F.bit_count(F.col("mu").bitwiseXOR(F.col("mv"))) <= 4 * most + 2)
+    near = (F.levenshtein(fu, fv) <= most) | ((tu != fu) & (F.levenshtein(tu, fv) <= most)) | ((tv != fv) & (F.levenshtein(fu, tv) <= most))
+    return possible & near
 
 
 def families(parts: DataFrame) -> DataFrame:
