@@ -6,8 +6,11 @@ Nothing here keeps state on one machine: tables cut from their lineage go to the
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors the package where they can't import it themselves (it is neither on PYTHONPATH nor in the working folder)."""
+    root = Path(__file__).resolve().parents[1]
+    known = [Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p]
+    sc = spark.sparkContext
+    if root in known or getattr(sc, "_lodestar_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="lodestar-"), "lodestar.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "lodestar").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._lodestar_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
