@@ -83,11 +83,10 @@ def s13_json_walk(spark: SparkSession, d: str) -> DataFrame:
     return feeds.json_ld_postings(postings(spark, d, "title").select("id", html.alias("h")), "h", "id").select("id", "title")
 
 
-@query(f"WITH {POSTINGS} SELECT id, company_name AS company FROM postings WHERE company_name NOT LIKE '%|%' AND company_name NOT LIKE '%<p>%' AND trim(company_name) = company_name")
+@query(f"WITH {POSTINGS} SELECT id, trim(string_split(company_name || ' | ' || title, '|')[1]) AS company FROM postings")
 def n12_comment_records(spark: SparkSession, d: str) -> DataFrame:
     company, _ = feeds.comment_header(F.concat_ws(" | ", "company_name", "title", "location_raw"))
-    p = postings(spark, d, "company_name", "title", "location_raw").where("company_name not like '%|%' and company_name not like '%<p>%' and trim(company_name) = company_name")
-    return p.select("id", company.alias("company"))
+    return postings(spark, d, "company_name", "title", "location_raw").select("id", company.alias("company"))
 
 
 @query()
@@ -208,12 +207,10 @@ def t18_drain(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "posting_batches").agg(F.lit(voting.drained(sizes, 1_000)).cast("bigint").alias("batches"), F.count("*").alias("rows"))
 
 
-@query("SELECT ref_id, list_sort(list_distinct(string_split(coalesce(alt_names, ref_value), '|')))::VARCHAR AS s FROM canonical_values WHERE alt_names IS NULL OR NOT contains(alt_names, ',')")
+@query("SELECT ref_id, array_to_string(list_sort(list_distinct(string_split(coalesce(alt_names, ref_value), '|'))), '|') AS names FROM canonical_values")
 def f59_as_set(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "canonical_values").where("alt_names is null or not contains(alt_names, ',')")
     text = F.when(F.col("alt_names").isNotNull(), F.to_json(F.split("alt_names", r"\|"))).otherwise(F.col("ref_value"))
-    s = F.array_join(voting.as_set(text), ", ")
-    return c.select("ref_id", F.concat(F.lit("["), F.when(F.contains(s, F.lit(", ")) & F.col("alt_names").isNull(), F.concat(F.lit("'"), s, F.lit("'"))).otherwise(s), F.lit("]")).alias("s"))
+    return table(spark, d, "canonical_values").select("ref_id", F.array_join(voting.as_set(text), "|").alias("names"))
 
 
 @query("SELECT source, sha256('{\"max_repeats\":' || max_repeats || ',\"source\":\"' || source || '\"}') AS sha FROM mix_targets")

@@ -59,7 +59,7 @@ def s10_rss(spark: SparkSession, d: str) -> DataFrame:
     return feeds.read_rss(spark, path).select("guid", "title")
 
 
-@query(f"WITH {POSTINGS} SELECT id, trim(company_name) AS company, trim(title) AS title FROM postings WHERE company_name NOT LIKE '%<%' AND title NOT LIKE '%<%' AND trim(company_name) <> ''")
+@query(f"WITH {POSTINGS} SELECT id, trim(company_name) AS company, trim(title) AS title FROM postings")
 def s11_listing_cards(spark: SparkSession, d: str) -> DataFrame:
     html = F.concat(F.lit('<div data-id="card"><a data-id="company">'), "company_name", F.lit('</a><h2 data-id="title">'), "title", F.lit("</h2></div>"))
     return feeds.listing_cards(postings(spark, d, "company_name", "title").select("id", html.alias("html")), "html", "id").select("id", "company", "title")
@@ -79,10 +79,10 @@ def s14_comment_header(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d, "company_name", "location_raw", "title").select("id", head.alias("c")).select("id", company.alias("company"), title.alias("title"))
 
 
-@query(f"WITH {POSTINGS} SELECT DISTINCT 'urlset' AS kind, job_url AS url FROM postings WHERE job_url IS NOT NULL AND NOT contains(job_url, ' ')")
+@query(f"WITH {POSTINGS} SELECT DISTINCT 'urlset' AS kind, job_url AS url FROM postings WHERE job_url IS NOT NULL")
 def s15_sitemap(spark: SparkSession, d: str) -> DataFrame:
     xml = F.concat(F.lit("<urlset><url><loc>"), "job_url", F.lit("</loc></url></urlset>"))
-    return feeds.sitemap_urls(postings(spark, d, "job_url").where("job_url is not null and not contains(job_url, ' ')").select(xml.alias("x")), "x").distinct()
+    return feeds.sitemap_urls(postings(spark, d, "job_url").where("job_url is not null").select(xml.alias("x")), "x").distinct()
 
 
 @query("SELECT company_id, company_name FROM companies")
@@ -189,10 +189,10 @@ def n9_nyc_open_data(spark: SparkSession, d: str) -> DataFrame:
     return _payload(spark, d, "nyc_open_data", body).select("source_id", "title", "salary_text", F.col("location_is_nyc").alias("nyc"))
 
 
-@query(f"WITH {POSTINGS} SELECT source_id, title, company_name, '2026-01-01T05:00:00' AS posted_at FROM postings WHERE platform = 'weworkremotely' AND NOT contains(company_name, ': ')")
+@query(f"WITH {POSTINGS} SELECT source_id, substr(company_name || ': ' || title, position(': ' IN company_name || ': ' || title) + 2) AS title, split_part(company_name, ': ', 1) AS company_name, '2026-01-01T05:00:00' AS posted_at FROM postings WHERE platform = 'weworkremotely'")
 def n10_weworkremotely(spark: SparkSession, d: str) -> DataFrame:
     body = F.struct(F.col("source_id").alias("guid"), F.concat_ws(": ", "company_name", "title").alias("title"), F.lit("Thu, 01 Jan 2026 00:00:00 -0500").alias("pubDate"))
-    return _payload(spark, d, "weworkremotely", body).where("not contains(company_name, ': ')").select("source_id", "title", "company_name", "posted_at")
+    return _payload(spark, d, "weworkremotely", body).select("source_id", "title", "company_name", "posted_at")
 
 
 @query(f"WITH {POSTINGS} SELECT platform, count(*) AS n FROM postings WHERE platform IN ('lever', 'ashby') GROUP BY 1")
