@@ -9,7 +9,7 @@ of one boilerplate never meet and a hot employer is split by its roles. Candidat
 
 Earlier runs are only read, filtered by the batch's keys (broadcast when their checked size allows);
 they are never re-hashed. Runs are merged once there are ``MERGE_RUNS``. Copies of one text under one
-employer and role enter the forest once per batch.
+employer and role are linked by their hash and enter the forest once.
 
 Defined results: records without a text, or with a text of no words, are no cases; the first record of a
 posting is the one with the smallest number among all records linked directly or by others; texts under ``WORDS``
@@ -189,7 +189,16 @@ class Forest:
         recs.write.parquet(text)
         mine = self.spark.read.parquet(text)
         rep = mine.groupBy("class").agg(F.min("no").alias("rep"))
-        copies = mine.join(rep, "class").where("no <> rep").select(F.col("rep").alias("first"), F.col("no").alias("again"))
+        copies = mine.join(rep, "class").where("no <> rep").select("rep", "no")
+        if self.texts:
+            # exact copies of accepted records need no place of their own in the forest
+            earlier = f"{self.folder}/known-{i}"
+            before = self.spark.read.parquet(*self.texts).select("class", F.col("no").alias("old"))
+            before.join(small_side(rep), "class").groupBy("class", "rep").agg(F.min("old").alias("old")).write.parquet(earlier)
+            known = self.spark.read.parquet(earlier)
+            copies = copies.unionByName(known.select(F.col("old").alias("rep"), F.col("rep").alias("no")))
+            rep = rep.join(small_side(known.select("class")), "class", "left_anti")
+        copies = copies.select(F.least("rep", "no").alias("first"), F.greatest("rep", "no").alias("again"))
         single = mine.join(rep.select(F.col("rep").alias("no")), "no", "left_semi")
         _forest_rows(single).sortWithinPartitions("tree", "ctx", *[f"h{d + 1}" for d in range(DEPTH)]).write.parquet(run)
         self.runs.append(run)

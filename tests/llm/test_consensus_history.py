@@ -170,5 +170,7 @@ def test_runs_are_merged(spark):
     for i in range(8):
         f.ingest(H.records(spark.createDataFrame(rows[i : i + 1], POSTINGS), "posting_no", "batch_no", "company_token", "company_name", "title", "description_text"))
     assert len(f.runs) < 8
-    last = f.ingest(H.records(spark.createDataFrame(rows[8:], POSTINGS), "posting_no", "batch_no", "company_token", "company_name", "title", "description_text"))
-    assert {r.first for r in last.collect()} == set(range(8))
+    args = ("posting_no", "batch_no", "company_token", "company_name", "title", "description_text")
+    assert [tuple(r) for r in f.ingest(H.records(spark.createDataFrame(rows[8:], POSTINGS), *args)).collect()] == [(0, 8)]
+    near = [(20, 20, "tok-one-two", "N", "Nurse", "a b c d e f g h i x")]
+    assert (0, 20) in {tuple(r) for r in f.ingest(H.records(spark.createDataFrame(near, POSTINGS), *args)).collect()}
