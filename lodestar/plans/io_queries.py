@@ -195,6 +195,48 @@ def n10_weworkremotely(spark: SparkSession, d: str) -> DataFrame:
     return _payload(spark, d, "weworkremotely", body).select("source_id", "title", "company_name", "posted_at")
 
 
+@query(f"WITH {POSTINGS} SELECT title, company_name, 'senior' AS level, true AS remote FROM postings WHERE platform = 'builtin_nyc'")
+def n11_builtin(spark: SparkSession, d: str) -> DataFrame:
+    body = F.struct(F.col("company_name").alias("company"), "title", F.col("location_raw").alias("location"), F.lit("Senior level").alias("level"), F.lit("Remote").alias("remote"), F.col("job_url").alias("url"))
+    return _payload(spark, d, "builtin_nyc", body).select("title", "company_name", F.col("seniority_guess").alias("level"), F.col("location_is_remote").alias("remote"))
+
+
+@query(_normalized_sql("workday"))
+def n13_fixture(spark: SparkSession, d: str) -> DataFrame:
+    p = postings(spark, d, "platform", "company_token", "company_name", "source_id", "title", "location_raw", "department", "job_url").where("platform = 'workday'")
+    body = F.struct(F.col("source_id").alias("id"), "title", F.col("location_raw").alias("location"), "department", F.col("job_url").alias("url"))
+    return _shown(records.normalize(p.select("company_token", "company_name", F.to_json(body).alias("raw_json")), "fixture"))
+
+
+@query(f"WITH {POSTINGS} SELECT source_id, title FROM postings WHERE platform = 'recruitee'")
+def s2_single_shot_board(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "board")
+    p = postings(spark, d, "platform", "company_token", "source_id", "title").where("platform = 'recruitee'")
+    boards = p.groupBy("company_token").agg(F.to_json(F.struct(F.collect_list(F.struct("source_id", "title")).alias("jobs"))).alias("value"))
+    boards.select("value").repartition("value").write.option("maxRecordsPerFile", 1).text(path)
+    rows = feeds.read_board(spark, path)
+    return rows.select(F.get_json_object("row", "$.source_id").alias("source_id"), F.get_json_object("row", "$.title").alias("title"))
+
+
+@query("SELECT ref_id, CASE WHEN ref_field = 'department' THEN 'cached' WHEN count(*) FILTER (WHERE ref_field <> 'department') OVER (ORDER BY ref_id) <= 20 THEN 'fetch' ELSE 'refused' END AS plan FROM canonical_values")
+def s19_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "canonical_values").select("ref_id", "ref_field")
+    cache = c.where("ref_field = 'department'").select(F.sha2(F.to_json(F.struct("ref_field", "ref_id")), 256).alias("digest"), F.lit("body").alias("body"), F.expr("timestamp'2026-01-02 00:00:00'").alias("stored_at"))
+    return feeds.dispatch_plan(c, cache, F.expr("timestamp'2026-01-02 12:00:00'"), 20, "ref_id").select("ref_id", "plan")
+
+
+@query(f"WITH {LOG}, s AS (SELECT user_id, epoch(ts)::BIGINT AS s, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts) AS rn FROM log) SELECT user_id, count(*) FILTER (WHERE rn <= 2) AS allowed, count(*) AS asked FROM s GROUP BY 1")
+def t19_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    e = log(spark, d).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
+    return feeds.paced(e, "user_id", "s", 1_000, 2).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("asked"))
+
+
+@query(f"WITH {LOG} SELECT job_id AS account, count(*) AS spent, max(event_id) - min(event_id) AS billed, max(event_id) - min(event_id) - count(*) AS drift FROM log GROUP BY 1")
+def t20_quota_ledger(spark: SparkSession, d: str) -> DataFrame:
+    e = log(spark, d).select(F.col("job_id").alias("account"), F.lit(1).alias("calls"), F.col("event_id").alias("counter"))
+    return feeds.quota_ledger(e, e)
+
+
 @query(f"WITH {POSTINGS} SELECT platform, count(*) AS n FROM postings WHERE platform IN ('lever', 'ashby') GROUP BY 1")
 def x2_union_sources(spark: SparkSession, d: str) -> DataFrame:
     lever = _payload(spark, d, "lever", F.struct(F.col("source_id").alias("id"), F.col("title").alias("text")))

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import scalar as S
@@ -129,3 +129,58 @@ def cached_response(key_parts: DataFrame, cache: DataFrame, now, ttl_hours: int
     digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(key_parts.columns)])), 256)
     fresh = cache.where(F.col("stored_at") > now - F.expr(f"interval {ttl_hours} hours")).groupBy("digest").agg(F.max_by("body", "stored_at").alias("body"))
     return key_parts.withColumn("digest", digest).join(fresh, "digest", "left")
+
+
+def read_board(spark: SparkSession, path: str, rows: str = "jobs") -> DataFrame:
+    """(row) of single-shot board files: one JSON document per file with a list of postings under ``rows``."""
+    docs = spark.read.option("wholetext", True).text(path)
+    return docs.select(F.explode(F.from_json(F.get_json_object("value", f"$.{rows}"), "array<string>")).alias("row"))
+
+
+def complete_or_raise(report: DataFrame) -> DataFrame:
+    """A crawl's report, refused if a page or more of what was announced is missing."""
+    if report.where("short").limit(1).count():
+        raise ValueError("the crawl misses at least one page of the reported total")
+    return report
+
+
+def with_retries(fetch, max_retries: int = 3, wait=None, transient: tuple[type[Exception], ...] = (OSError,)):
+    """The result of ``fetch()``; transient failures are tried again after 1, 2, 4 ... units, then raised."""
+    for attempt in range(max_retries + 1):
+        try:
+            return fetch()
+        except transient:
+            if attempt == max_retries:
+                raise
+            if wait:
+                wait(2**attempt)
+    return None
+
+
+def dispatch_plan(requests: DataFrame, cache: DataFrame, now, quota_left: int, order: str) -> DataFrame:
+    """Requests with what to do about each: ``cached``, ``fetch`` while quota lasts (in ``order``), else ``refused``."""
+    x = cached_response(requests, cache, now)
+    n = F.sum(F.col("body").isNull().cast("int")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return x.withColumn("plan", F.when(F.col("body").isNotNull(), "cached").when(n <= quota_left, "fetch").otherwise("refused"))
+
+
+def quota_ledger(spends: DataFrame, vendor: DataFrame, account: str = "account") -> DataFrame:
+    """(account, spent, billed, drift): our own count of calls beside the vendor's counter, which is the referee."""
+    s = spends.groupBy(account).agg(F.sum("calls").alias("spent"))
+    v = vendor.groupBy(account).agg((F.max("counter") - F.min("counter")).alias("billed"))
+    return s.join(v, account, "full_outer").select(account, F.coalesce("spent", F.lit(0)).alias("spent"), F.coalesce("billed", F.lit(0)).alias("billed")).withColumn("drift", F.col("billed") - F.col("spent"))
+
+
+def paced(instants: DataFrame, key: str, seconds: str, per_minute: int, per_day: int) -> DataFrame:
+    """(key, seconds, allowed): calls that keep to a number per minute and per day, by their place in each."""
+    minute = Window.partitionBy(key, F.floor(F.col(seconds) / 60)).orderBy(seconds)
+    day = Window.partitionBy(key, F.floor(F.col(seconds) / 86400)).orderBy(seconds)
+    x = instants.withColumn("__m", F.row_number().over(minute) <= per_minute)
+    return x.withColumn("__d", F.sum(F.col("__m").cast("int")).over(day.rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= per_day).select(key, seconds, (F.col("__m") & F.col("__d")).alias("allowed"))
+
+
+def without_comments(config):
+    """A configuration without the keys that begin with an underscore, at any depth."""
+    if isinstance(config, dict):
+        return {k: without_comments(v) for k, v in config.items() if not k.startswith("_")}
+    return [without_comments(x) for x in config] if isinstance(config, list) else config

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import scalar as S
+from lodestar.sources.feeds import comment_header
 
 #: The record every source is normalised to.
 COLUMNS = ("platform", "company_token", "company_name", "source_id", "title", "location_raw", "department", "job_url", "posted_at", "posted_at_ts", "salary_text", "seniority_guess", "location_is_nyc", "location_is_remote", "company_is_nyc_hq", "company_is_ai_focused", "description_text", "raw_json")
@@ -23,10 +24,17 @@ SCHEMAS = {
     "workday": "externalPath string, title string, postedOn string, locationsText string, remoteType string, bulletFields array<string>",
     "nyc_open_data": "job_id string, business_title string, agency string, posting_date string, post_until string, work_location string, job_category string, salary_range_from string, salary_range_to string, salary_frequency string, job_description string",
     "weworkremotely": "guid string, title string, pubDate string, region string, category string, link string, description string",
+    "builtin_nyc": "company string, title string, location string, level string, remote string, url string, posted string, description string",
+    "hn_whoishiring": "id bigint, time bigint, text string",
+    "fixture": "id string, title string, location string, department string, url string, posted_at string, description string, remote boolean",
     "google_jobs": "job_id string, title string, company_name string, location string, description string, share_link string, detected_extensions struct<posted_at:string,salary:string,work_from_home:boolean>",
 }
 
 
+#: Listing levels and the guess they stand for.
+LISTED_LEVELS = {"entry level": "entry", "junior": "entry", "mid level": "mid_or_unspecified", "senior level": "senior", "expert/leader": "senior"}
+
+
 def _text(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " ")), F.lit(""))
 
@@ -71,6 +79,14 @@ def _fields(platform: str, p: Column) -> dict[str, Column]:
     if platform == "google_jobs":
         ext = g("detected_extensions")
         return {"source_id": S.search_source_id(g("job_id"), F.lit(None).cast("string"), g("title"), S.normalize_url(g("share_link"))), "title": g("title"), "company_name": g("company_name"), "location_raw": g("location"), "job_url": g("share_link"), "posted_at": ext["posted_at"], "salary_text": ext["salary"], "description_text": _text(g("description")), "remote": ext["work_from_home"]}
+    if platform == "builtin_nyc":
+        return {"source_id": g("url"), "title": g("title"), "company_name": g("company"), "location_raw": g("location"), "job_url": g("url"), "posted_at": g("posted"), "description_text": _text(g("description")), "remote": g("remote").rlike("(?i)remote"), "level": F.element_at(F.create_map(*[F.lit(x) for kv in LISTED_LEVELS.items() for x in kv]), F.lower(g("level")))}
+    if platform == "hn_whoishiring":
+        company, title = comment_header(g("text"))
+        at = F.date_format(F.timestamp_seconds(g("time")), "yyyy-MM-dd'T'HH:mm:ss")
+        return {"source_id": g("id").cast("string"), "title": title, "company_name": company, "location_raw": S.strip_html(F.split(g("text"), "<p>")[0]), "job_url": F.concat(F.lit("item?id="), g("id").cast("string")), "posted_at": at, "posted_at_ts": at, "description_text": S.strip_html(g("text"))}
+    if platform == "fixture":
+        return {"source_id": g("id"), "title": g("title"), "location_raw": g("location"), "department": g("department"), "job_url": g("url"), "posted_at": g("posted_at"), "posted_at_ts": g("posted_at"), "description_text": g("description"), "remote": g("remote")}
     raise ValueError(f"no normaliser for {platform!r}")
 
 
@@ -85,7 +101,7 @@ def normalize(payloads: DataFrame, platform: str, raw: str = "raw_json") -> Data
         remote = remote | F.coalesce(f["remote"], F.lit(False))
     if "nyc" in f:
         nyc = f["nyc"]
-    made = {"platform": F.lit(platform), "company_token": F.col("company_token"), "company_name": f.get("company_name", F.col("company_name")), "seniority_guess": S.guess_seniority(f["title"]), "location_is_nyc": nyc, "location_is_remote": remote, "raw_json": F.col(raw)}
+    made = {"platform": F.lit(platform), "company_token": F.col("company_token"), "company_name": f.get("company_name", F.col("company_name")), "seniority_guess": F.coalesce(f["level"], S.guess_seniority(f["title"])) if "level" in f else S.guess_seniority(f["title"]), "location_is_nyc": nyc, "location_is_remote": remote, "raw_json": F.col(raw)}
     kinds = {c: "boolean" for c in COLUMNS if "_is_" in c}
     out = {c: made.get(c, f.get(c, F.lit(None))).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS}
     return x.select(*[out[c] for c in COLUMNS])

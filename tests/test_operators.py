@@ -125,3 +125,21 @@ def test_size_checks(spark):
     assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
     with pytest.raises(ValueError):
         bounded_rows(spark.range(11), 10, "x")
+
+
+def test_crawl_guards_retries_and_config(spark):
+    short = spark.createDataFrame([(True,)], "short boolean")
+    with pytest.raises(ValueError):
+        feeds.complete_or_raise(short)
+    calls, waits = [], []
+
+    def fetch():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return "ok"
+
+    assert feeds.with_retries(fetch, wait=waits.append) == "ok" and waits == [1, 2]
+    with pytest.raises(OSError):
+        feeds.with_retries(lambda: (_ for _ in ()).throw(OSError()), max_retries=1)
+    assert feeds.without_comments({"_note": 1, "a": [{"_b": 2, "c": 3}]}) == {"a": [{"c": 3}]}
