@@ -129,10 +129,10 @@ def l1_ranked_list(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SCORED}, k AS (SELECT match_score AS s, id AS i FROM scored ORDER BY match_score DESC, id LIMIT 1 OFFSET 24), page AS (SELECT scored.id, scored.match_score FROM scored, k WHERE match_score < s OR (match_score = s AND id > i) ORDER BY match_score DESC, id LIMIT 26) SELECT id, match_score FROM page ORDER BY match_score DESC, id LIMIT 25")
 def l2_keyset_page(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).select("id", "match_score")
-    key = s.orderBy(F.desc("match_score"), "id").offset(24).limit(1).select(F.col("match_score").alias("s"), F.col("id").alias("i"))
+    first = s.orderBy(F.desc("match_score"), "id").limit(25)
+    key = first.agg(F.max(F.struct((-F.col("match_score")).alias("s"), F.col("id").alias("i"))).alias("x")).select((-F.col("x.s")).alias("s"), "x.i")
     after = (F.col("match_score") < F.col("s")) | ((F.col("match_score") == F.col("s")) & (F.col("id") > F.col("i")))
-    page = s.crossJoin(F.broadcast(key)).where(after).orderBy(F.desc("match_score"), "id").limit(26)
-    return page.orderBy(F.desc("match_score"), "id").limit(25).select("id", "match_score")
+    return s.crossJoin(F.broadcast(key)).where(after).select("id", "match_score").orderBy(F.desc("match_score"), "id").limit(25)
 
 
 @query("SELECT company_id, open_jobs IS NOT NULL AS done FROM companies ORDER BY open_jobs IS NOT NULL, open_jobs DESC, company_id LIMIT 40")
