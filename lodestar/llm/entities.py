@@ -55,9 +55,9 @@ def gram_vectors(forms: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     return x.select("form", "gram", (F.col("idf") / norm).alias("w"), "df")
 
 
-def similar_forms(forms: DataFrame, cosine: float = COSINE, edits: float = EDITS) -> DataFrame:
-    """(u, v, sim): all pairs of forms, u < v, with at least this cosine and edit similarity."""
-    vectors = materialize(gram_vectors(forms), "grams")
+def similar_forms(forms: DataFrame, cosine: float = COSINE, edits: float = EDITS, vectors: DataFrame | None = None) -> DataFrame:
+    """(u, v, sim): all pairs of forms, u < v, with at least this cosine and edit similarity; ``vectors`` are theirs if at hand."""
+    vectors = materialize(gram_vectors(forms), "grams") if vectors is None else vectors
     order = Window.partitionBy("form").orderBy("df", "gram")
     used = F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     spelled = forms.select("form", F.replace("form", F.lit(" "), F.lit("")).alias("flat"), F.array_join(F.reverse(F.split("form", " ")), "").alias("turned"))
@@ -98,10 +98,14 @@ def families(parts: DataFrame) -> DataFrame:
     forms = materialize(forms, "forms")
     together = components(parts.where("name_form is not null and token_form is not null"), "name_form", "token_form")
     node = materialize(forms.join(together, forms["form"] == together["node"], "left").select("form", F.coalesce("component", "form").alias("node")), "nodes")
-    pairs = similar_forms(forms)
+    vectors = materialize(gram_vectors(forms), "grams")
+    pairs = similar_forms(forms, vectors=vectors)
     x = pairs.join(node.select(F.col("form").alias("u"), F.col("node").alias("nu")), "u").join(node.select(F.col("form").alias("v"), F.col("node").alias("nv")), "v").where("nu <> nv")
-    edges = x.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"), "sim").groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    grouped = average_linkage(edges, LINKAGE)
+    edges = materialize(x.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"), "sim").groupBy("u", "v").agg(F.max("sim").alias("sim")), "edges")
+    size = node.groupBy("node").agg(F.count("*").alias("n"))
+    linked = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(size, "node")
+    sums = vectors.join(node, "form").groupBy("node", "gram").agg(F.sum("w").alias("w")).join(linked, "node")
+    grouped = average_linkage(edges, LINKAGE, sums)
     return node.join(grouped, node["node"] == grouped["node"], "left").select("form", F.coalesce("cluster", node["node"]).alias("family"))
 
 

@@ -106,6 +106,26 @@ def test_average_linkage_equals_one_merge_at_a_time(spark):
     assert [c for c in linked if len(c) > 1] == [c for c in want if len(c) > 1]
 
 
+def test_linkage_weighs_members_and_pairs_without_an_edge(spark):
+    # b stands for five members; c has no edge with a but shares grams with it
+    vecs = {"a": ({"x": 1.0}, 1), "b": ({"x": 4.0, "y": 3.0}, 5), "c": ({"x": 0.6, "y": 0.8}, 1), "d": ({"y": 1.0}, 1)}
+    rows = [(k, g, w, n) for k, (v, n) in vecs.items() for g, w in v.items()]
+    vectors = spark.createDataFrame(rows, "node string, gram string, w double, n bigint")
+    edges = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.5)], "u string, v string, sim double")
+    # a-b 4/5, b-c 4.8/5; then a against b and c: (4 + 0.6) / 6 = 0.767 (without the pair a-c 0.667)
+    got = {r.node: r.cluster for r in graphs.average_linkage(edges, 0.7, vectors).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a"}
+    assert {r.node: r.cluster for r in graphs.average_linkage(edges, 0.78, vectors).collect()} == {"a": "a", "b": "b", "c": "b"}
+
+
+def test_linkage_goes_on_until_no_merge_is_left(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "MAX_ROUNDS", 2)
+    edges = spark.createDataFrame([("a", k, 1 - i / 100) for i, k in enumerate("bcdef")] + [(x, y, 0.5) for x, y in itertools.combinations("bcdef", 2)], "u string, v string, sim double")
+    assert {r.cluster for r in graphs.average_linkage(edges, 0.3).collect()} == {"a"}
+    with pytest.raises(RuntimeError):
+        graphs.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint"), "a", "b")
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
