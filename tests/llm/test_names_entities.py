@@ -84,6 +84,13 @@ def test_similarity_join_equals_brute_force(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
+def test_two_typos_leave_a_spelling_in_its_family(spark):
+    variants = [("sharjoldror sikuni", "shatjoldror sikini"), ("kanfirher lekeli", "kanfurher lekli"), ("dioku quiemornel", "disoku quirmornel")]
+    parts = materialize(spark.createDataFrame([(f, None) for v in variants for f in v], "name_form string, token_form string"))
+    family = {r.form: r.family for r in entities.families(parts).collect()}
+    assert all(family[a] == family[b] for a, b in variants) and len(set(family.values())) == 3
+
+
 def agglomerate(n, sim, threshold):
     clusters = [{i} for i in range(n)]
     while len(clusters) > 1:
