@@ -12,11 +12,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: Largest row count for which a side is broadcast; above it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Most rows and most bytes of values of a side that is broadcast; above either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,19 +36,35 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a folder of this machine on a local master, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path) of a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in this application's part of the shared folder, which is removed when the application ends."""
+    base = f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}"
+    fs, p = file_system(spark, base)
+    fs.deleteOnExit(p)
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application; results not yet written elsewhere are lost."""
+    drop_path(spark, f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
@@ -58,20 +75,63 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path (used between iterations, so that only the last table stays)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; stops reading at the first row too many."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Remove a path (used between iterations, so that only the last table stays)."""
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, p = file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """Content of a small text file."""
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file whole: under another name first, then renamed."""
+    fs, p = file_system(spark, path)
+    _, draft = file_system(spark, path + ".tmp")
+    stream = fs.create(draft, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    fs.delete(p, False)
+    fs.rename(draft, p)
+
+
+def _value_bytes(name: str, kind: DataType) -> Column:
+    """Bytes of one column's value in a row, about."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.size(name), F.lit(0)) * 8 + 16 if not isinstance(kind.elementType, StringType) else F.coalesce(F.octet_length(F.array_join(name, "")), F.lit(0)) + 16
+    if isinstance(kind, (MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(name)), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` keeps to both bounds; stops reading at the first row too many."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        size = size + _value_bytes(f"`{f.name}`", f.dataType)
+    rows, total = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return rows <= max_rows and (total or 0) <= max_bytes
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint when its checked size allows, else unchanged (a shuffle join)."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
