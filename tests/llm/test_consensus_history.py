@@ -136,7 +136,7 @@ def brute(rows):
 
     for (a, wa), (b, wb) in itertools.combinations(info, 2):
         if a[2] == b[2] and H.role_of(a[4]) == H.role_of(b[4]):
-            if H.coverage(H.shingles(wa, {}).view(np.int64), H.shingles(wb, {}).view(np.int64), len(wa), len(wb)) >= H.COVERAGE:
+            if H.coverage(*(g.view(np.int64) for g in H.shingles([wa, wb], H.WordCodes())), len(wa), len(wb)) >= H.COVERAGE:
                 x, y = sorted((find(a[0]), find(b[0])))
                 first[y] = x
     return sorted((find(n), n) for n in first if find(n) != n)
@@ -160,17 +160,56 @@ def test_no_text_other_role_other_employer_and_empty(spark):
     assert found(spark, rows[:0]) == []
 
 
-def test_depth_follows_the_recall_target():
-    assert H.prefix_depth() == 1 and H.prefix_depth(trees=60, least=0.5) == 3 and H.prefix_depth(trees=1, recall=0.999) == 1
+ARGS = ("posting_no", "batch_no", "company_token", "company_name", "title", "description_text")
 
 
-def test_runs_are_merged(spark):
-    rows = [(i, i, "tok-one-two", "N", "Nurse", "a b c d e f g h i j") for i in range(9)]
+def ingest(spark, forest, rows):
+    return {tuple(r) for r in forest.ingest(H.records(spark.createDataFrame(rows, POSTINGS), *ARGS)).collect()}
+
+
+def test_chance_of_meeting_falls_with_depth():
+    assert H.met(0.36, 1) > 0.999 > H.met(0.36, 2) > 0.85 and H.met(1.0, 2) == 1.0
+
+
+def test_runs_are_merged_and_copies_stay_out(spark):
+    rows = [(i, i, "tok-one-two", "N", "Nurse", "a b c d e f g h i j") for i in range(6)]
+    f = H.Forest(spark)
+    for i in range(5):
+        assert ingest(spark, f, rows[i : i + 1]) == ({(0, i)} if i else set())
+    assert len(f._of("exact")) < 5 and sum(t["rows"] for t in f._of("tree")) == H.TREES
+    assert ingest(spark, f, [(20, 20, "tok-one-two", "N", "Nurse", "a b c d e f g h i x")]) == {(0, 20)}
+
+
+def test_folder_opened_again_goes_on_and_opens_only_touched_files(spark, tmp_path):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    history = [(i, 0, f"employer-{i}-token", None, f"Nurse {word()}", " ".join(word() for _ in range(30))) for i in range(60)]
+    folder = str(tmp_path / "forest")
+    ingest(spark, H.Forest(spark, folder, file_rows=40), history)
+    f = H.Forest(spark, folder, file_rows=40)
+    again = history[17]
+    near = again[5].split()
+    near[3] = "changed"
+    assert ingest(spark, f, [(100, 1, *again[2:])]) == {(17, 100)}
+    f = H.Forest(spark, folder, file_rows=40)
+    assert f.count == 2 and ingest(spark, f, [(101, 2, *again[2:5], " ".join(near))]) == {(17, 101)}
+    touched, there = f.opened["tree"]
+    assert there > 20 and touched <= 4
+    assert sorted(tuple(r) for r in f.links().collect()) == [(17, 100), (17, 101)]
+
+
+def test_widening_ends_at_the_recall_target(spark):
+    t = [f"word{i}" for i in range(80)]
     f = H.Forest(spark)
-    for i in range(8):
-        f.ingest(H.records(spark.createDataFrame(rows[i : i + 1], POSTINGS), "posting_no", "batch_no", "company_token", "company_name", "title", "description_text"))
-    assert len(f.runs) < 8
-    args = ("posting_no", "batch_no", "company_token", "company_name", "title", "description_text")
-    assert [tuple(r) for r in f.ingest(H.records(spark.createDataFrame(rows[8:], POSTINGS), *args)).collect()] == [(0, 8)]
-    near = [(20, 20, "tok-one-two", "N", "Nurse", "a b c d e f g h i x")]
-    assert (0, 20) in {tuple(r) for r in f.ingest(H.records(spark.createDataFrame(near, POSTINGS), *args)).collect()}
+    ingest(spark, f, [(1, 0, "tok-one-two", "N", "Nurse", " ".join(t))])
+    assert ingest(spark, f, [(2, 1, "tok-one-two", "N", "Nurse", " ".join([*t, "end"]))]) == {(1, 2)}
+    assert f.depth == H.DEPTH and f.recall >= H.RECALL
+    far = t[:60] + [f"other{i}" for i in range(18)]
+    assert (1, 3) in ingest(spark, f, [(3, 2, "tok-one-two", "N", "Nurse", " ".join(far))])
+    assert f.depth <= H.DEPTH
+
+
+def test_a_copy_brings_its_name_into_the_forest(spark):
+    t = [f"word{i}" for i in range(40)]
+    rows = [(1, 0, "tok-one-two", None, "Nurse", " ".join(t)), (2, 1, "tok-one-two", "Vorrin Quell Robotics", "Nurse", " ".join(t)), (3, 2, "other-token-x", "Vorrin Quell Robotics", "Nurse", " ".join([*t, "more"])), (4, 2, None, None, "Nurse", " ".join(t)), (5, 3, None, None, "Nurse", " ".join(t))]
+    assert found(spark, rows) == [(1, 2), (1, 3)]
