@@ -45,9 +45,10 @@ CLOSERS = set("”“»›」』)]）】》〉}")
 QUOTES = set("“„«‹「『\"”»›」』")
 BRACKETS = set("()[]（）【】{}")
 EVENTS = re.compile(r'[.!?…。！？｡؟।॥۔“”„«»‹›「」『』()\[\]（）【】《》〈〉{}"]|[฀-๿]\s+(?=\S)')
+MARKS = re.compile(r'[“”„«»‹›「」『』()\[\]（）【】《》〈〉{}"]')
+TOKEN_MARKS = re.compile(r"\s|@|://")
 LIST_MARK = re.compile(r"[ \t]*(?:[*•‣◦▪●○·・–—\-]|\(?\d{1,3}\)|\(?[a-zA-Z]\)|\d{1,3}\.)(?=\s)")
 PLAIN_NUMBER = re.compile(r"[ \t]*(\d{1,3})\.(?=\s)")
-WORD_BEFORE = re.compile(r"[^\W\d_](?:[^\s\"“”„«»‹›()\[\]（）]*[^\W_])?$|[^\W_]+$")
 
 
 class Trie:
@@ -143,6 +144,32 @@ class Reader:
 
     def __init__(self, text: str):
         self.text = text
+        self._read = self._token = 0
+        self._mail = -1
+
+    def token_start(self, i: int, start: int) -> int:
+        """Where the run without white space that ends at ``i`` begins, not before ``start``; reads on from the last call."""
+        for m in TOKEN_MARKS.finditer(self.text, min(self._read, i), i):
+            if m.group().isspace():
+                self._token = m.end()
+            else:
+                self._mail = m.start()
+        self._read = max(self._read, i)
+        return max(self._token, start)
+
+    def matched(self, start: int, end: int) -> dict[int, int]:
+        """Closing position of each quotation mark or bracket opened and closed within [start, end)."""
+        t, stack, out = self.text, [], {}
+        for m in MARKS.finditer(t, start, end):
+            i = m.start()
+            c = t[i]
+            if stack and c in stack[-1][0]:
+                out[stack.pop()[1]] = i
+            elif c == '"':
+                stack.append(('"', i))
+            elif c in OPENERS:
+                stack.append((OPENERS[c], i))
+        return out
 
     def period_ends(self, i: int, j: int, end: int, start: int) -> bool:
         """Whether the period at ``i`` ends a unit; ``j`` is where the next character other than space stands."""
@@ -155,16 +182,15 @@ class Reader:
                 return False
             if after.isalpha() and after.islower():
                 return False
-            k = i
-            while k > start and not t[k - 1].isspace():
-                k -= 1
-            token = t[k:i]
-            if "@" in token or "://" in token or token.lower().startswith("www"):
+            k = self.token_start(i, start)
+            if self._mail >= k or t[k : k + 3].lower() == "www":
                 return False
             if latin(after):
-                m = re.search(r"[^\W\d_]+$", token)
+                w = i
+                while w > k and t[w - 1].isalpha():
+                    w -= 1
                 nxt = t[i + 2] if i + 2 < end else ""
-                word = m.group() if m else ""
+                word, token = t[w:i], t[i - 1] if i > k else ""
                 if ABBREVIATIONS.find(t, i) == "title" and len(word) > 1:
                     return False
                 if len(word) < 2 and not (token and token[-1].isdigit()) or nxt == "." and len(word) < 3 or word.lower() == "ph":
@@ -200,9 +226,9 @@ class Reader:
                 return False
         return nxt not in ",;:"
 
-    def ends(self, start: int, end: int, plain: frozenset = frozenset()) -> list[int]:
-        """Unit ends within [start, end); openers at positions in ``plain`` are ordinary characters."""
-        t, out, stack = self.text, [], []
+    def ends(self, start: int, end: int) -> list[int]:
+        """Unit ends within [start, end); marks without their counterpart are ordinary characters."""
+        t, out, stack, match = self.text, [], [], self.matched(start, end)
         unit = start
         skip = start
         for m in EVENTS.finditer(t, start, end):
@@ -218,10 +244,8 @@ class Reader:
                     unit = j
                 continue
             if c in QUOTES or c in BRACKETS or c in OPENERS or c in CLOSERS:
-                if i in plain:
-                    continue
-                if stack and (c in stack[-1][0]):
-                    opener = stack.pop()[1]
+                if stack and match[stack[-1]] == i:
+                    opener = stack.pop()
                     if not stack:
                         k = i + 1
                         inner = i - 1
@@ -233,11 +257,8 @@ class Reader:
                             out.append(k)
                             unit = self.next_text(k, end)
                             skip = k
-                    continue
-                if c == '"':
-                    stack.append(('"', i))
-                elif c in OPENERS:
-                    stack.append((OPENERS[c], i))
+                elif i in match:
+                    stack.append(i)
                 continue
             if stack:
                 continue
@@ -262,14 +283,11 @@ class Reader:
                     continue
                 if j < end and t[j] in ",;":
                     continue
-            while k < end and t[k] in CLOSERS and k not in plain and t[k] not in OPENERS:
+            while k < end and t[k] in CLOSERS and t[k] not in OPENERS:
                 k += 1
             out.append(k)
             unit = self.next_text(k, end)
             skip = k
-        if stack:
-            # an opener without its closer: read the block again with it as plain text
-            return self.ends(start, end, plain | {o for _, o in stack[:1]})
         out.append(end)
         return out
 
