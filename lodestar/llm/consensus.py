@@ -5,10 +5,12 @@ is smoothed towards the person's own overall accuracy (right with that probabili
 label), so people with few answers are not trusted or damned on a handful of items. An item's posterior
 ranges over the labels somebody gave it.
 
-One round reads the vote table, joins the current counts (broadcast when their checked size allows),
-and shuffles once by item; expected counts are summed map-side before the second, small shuffle. The
-counts of a round are written to the shared folder, so lineage stays one round long. Vote rows are never
-gathered per person or per label, so a person with a third of all answers is one key of a partial sum.
+The votes are shuffled once, into a table bucketed by item. A round reads it, joins the current counts (broadcast when
+their checked size allows, which keeps the partitioning) and works out an item's posteriors where its votes lie, so that
+only expected counts, summed map-side, are shuffled. The counts of a round are written to the shared folder, so lineage
+stays one round long. Rounds end when the expected counts no longer change, by ``TOLERANCE`` of all answers; more than
+``MOST_ROUNDS`` raise. Vote rows are never gathered per person or per label, so a person with a third of all answers
+is one key of a partial sum; the votes of one item are read in order and may spill.
 
 Defined results: of one person's rows for an item the highest round counts, even if blank; equal rounds
 count once (the later, then the larger id); blank answers are no answers; labels compare in lower case,
@@ -18,13 +20,17 @@ alphabetically first label; rows without item, field or person are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.session import drop_path, scratch, small_side
+from lodestar.session import drop_path, is_small, materialize, scratch
 
-#: Rounds of estimation; weight of the prior in answers per row of a matrix; prior answers and accuracy of a person.
-ROUNDS, SMOOTHING, PRIOR_N, PRIOR_ACCURACY = 12, 4.0, 4.0, 0.7
+#: Share of all expected counts whose change ends the rounds; rounds that never end raise after this many.
+TOLERANCE, MOST_ROUNDS = 1e-4, 1_000
+#: Weight of the prior in answers per row of a matrix; prior answers and accuracy of a person.
+SMOOTHING, PRIOR_N, PRIOR_ACCURACY = 4.0, 4.0, 0.7
 MIN_PEOPLE = 3
 
 
@@ -38,25 +44,31 @@ def final_answers(labels: DataFrame) -> DataFrame:
 
 def vote_pairs(answers: DataFrame) -> DataFrame:
     """(job_id, field, labeller_id, value, label): each answer against each label given to its item."""
-    votes = answers.repartition("job_id", "field")
     w = Window.partitionBy("job_id", "field")
-    return votes.withColumn("labels", F.collect_set("value").over(w)).select("job_id", "field", "labeller_id", "value", F.explode("labels").alias("label"))
+    return answers.withColumn("labels", F.collect_set("value").over(w)).select("job_id", "field", "labeller_id", "value", F.explode("labels").alias("label"))
+
+
+KEYS, ITEM = ["field", "labeller_id", "label", "value"], ["job_id", "field"]
 
 
-KEYS = ["field", "labeller_id", "label", "value"]
+def _bucketed(pairs: DataFrame) -> tuple[DataFrame, str]:
+    """The vote pairs as a table bucketed and sorted by item, which later rounds need not shuffle; and its name."""
+    spark = pairs.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"lodestar_votes_{uuid.uuid4().hex[:12]}"
+    pairs.repartition(n, *ITEM).write.bucketBy(n, *ITEM).sortBy(*ITEM, "label").option("path", scratch(spark, "votes")).saveAsTable(name)
+    return spark.table(name), name
 
 
 def _posteriors(pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``p``, the posterior of its label for its item, from the log likelihoods ``ll`` of its rows."""
-    by_label, by_item = Window.partitionBy("job_id", "field", "label"), Window.partitionBy("job_id", "field")
-    x = pairs.repartition("job_id", "field")
-    x = x.withColumn("__s", F.sum("ll").over(by_label) + F.max("__prior").over(by_label)).withColumn("__m", F.count("*").over(by_label))
+    by_label, by_item = Window.partitionBy(*ITEM, "label"), Window.partitionBy(*ITEM)
+    x = pairs.withColumn("__s", F.sum("ll").over(by_label) + F.max("__prior").over(by_label)).withColumn("__m", F.count("*").over(by_label))
     x = x.withColumn("__e", F.exp(F.col("__s") - F.max("__s").over(by_item)))
     return x.withColumn("p", F.col("__e") / F.sum(F.col("__e") / F.col("__m")).over(by_item)).drop("ll", "__s", "__m", "__e", "__prior")
 
 
 def _log_likelihoods(expected: DataFrame) -> DataFrame:
-    """(field, labeller_id, label, value, ll, __prior) of expected counts (field, labeller_id, label, value, n).
+    """(field, labeller_id, label, value, n, moved, ll, __prior) of expected counts (field, labeller_id, label, value, n, old).
 
     Every combination that the vote pairs hold is among the counts, so one inner join applies the table.
     """
@@ -70,42 +82,67 @@ def _log_likelihoods(expected: DataFrame) -> DataFrame:
     prior = by_label.select("field", "label", k.alias("k"), F.log((F.col("label_n") + 1) / (F.sum("label_n").over(in_field) + k)).alias("__prior"))
     x = x.join(prior, ["field", "label"])
     base = F.when(F.col("label") == F.col("value"), F.col("acc")).otherwise((1 - F.col("acc")) / F.greatest(F.col("k") - 1, F.lit(1.0)))
-    return x.select("field", "labeller_id", "label", "value", F.log((F.col("n") + SMOOTHING * base) / (F.col("row_n") + SMOOTHING)).alias("ll"), "__prior")
+    return x.select(*KEYS, "n", F.abs(F.col("n") - F.col("old")).alias("moved"), F.log((F.col("n") + SMOOTHING * base) / (F.col("row_n") + SMOOTHING)).alias("ll"), "__prior")
 
 
 def _expected(posteriors: DataFrame) -> DataFrame:
-    return posteriors.groupBy("field", "labeller_id", "label", "value").agg(F.sum("p").alias("n"))
+    return posteriors.groupBy(*KEYS).agg(F.sum("p").alias("n"), F.max("old").alias("old"))
 
 
-def estimate(labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(job_id, field, labeller_id, value, label, p): every answer against every label of its item, with the label's posterior."""
+def estimate(labels: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(job_id, field, labeller_id, value, label, p): every answer against every label of its item, with the label's posterior.
+
+    Rounds go on until the counts settle, or are ``rounds`` in number. Written once: both reports below can use it.
+    """
     spark = labels.sparkSession
-    path = scratch(spark, "votes")
-    vote_pairs(final_answers(labels)).write.parquet(path)
-    pairs = spark.read.parquet(path)
-    start = pairs.groupBy("job_id", "field", "label").agg((F.sum(F.when(F.col("label") == F.col("value"), 1.0).otherwise(0.0)) / F.count("*")).alias("p"))
-    posteriors, old = pairs.join(start, ["job_id", "field", "label"]), None
-    for i in range(rounds):
+    pairs, name = _bucketed(vote_pairs(final_answers(labels)))
+    w = Window.partitionBy(*ITEM, "label")
+    share = F.sum(F.when(F.col("label") == F.col("value"), 1.0).otherwise(0.0)).over(w) / F.count("*").over(w)
+    posteriors, old = pairs.withColumn("p", share).withColumn("old", F.lit(0.0)), None
+    for i in range(MOST_ROUNDS):
+        if i == rounds:
+            break
         at = scratch(spark, f"matrices{i}")
         _log_likelihoods(_expected(posteriors)).write.parquet(at)
         if old:
             drop_path(spark, old)
         old = at
-        posteriors = _posteriors(pairs.join(small_side(spark.read.parquet(at)), KEYS))
-    return posteriors
+        table = spark.read.parquet(at)
+        kept = F.broadcast(table) if is_small(table) else table
+        moved, total = table.agg(F.sum("moved"), F.sum("n")).first()
+        posteriors = _posteriors(pairs.join(kept.select(*KEYS, "ll", "__prior", F.col("n").alias("old")), KEYS))
+        if rounds is None and (total is None or moved <= TOLERANCE * total):
+            break
+    else:
+        raise RuntimeError(f"consensus: counts not settled after {MOST_ROUNDS} rounds")
+    out = materialize(posteriors.drop("old"), "posteriors")
+    for path in filter(None, (old,)):
+        drop_path(spark, path)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def consensus(labels: DataFrame, min_people: int = MIN_PEOPLE, rounds: int | None = None) -> DataFrame:
+    """(job_id, field, value, posterior, people) for items answered by at least ``min_people`` people."""
+    return consensus_of(estimate(labels, rounds), min_people)
 
 
-def consensus(labels: DataFrame, min_people: int = MIN_PEOPLE, rounds: int = ROUNDS) -> DataFrame:
-    """(job_id, field, value, posterior, people) for items answered by at least ``min_people`` people."""
-    p = estimate(labels, rounds).groupBy("job_id", "field", "label").agg(F.max("p").alias("p"), F.count("*").alias("people"))
+def consensus_of(posteriors: DataFrame, min_people: int = MIN_PEOPLE) -> DataFrame:
+    """As :func:`consensus`, of an estimate."""
+    p = posteriors.groupBy("job_id", "field", "label").agg(F.max("p").alias("p"), F.count("*").alias("people"))
     best = p.groupBy("job_id", "field").agg(F.min(F.struct(-F.round("p", 9), F.col("label"), F.col("p"), F.col("people"))).alias("x"))
     return best.select("job_id", "field", F.col("x.label").alias("value"), F.col("x.p").alias("posterior"), F.col("x.people").alias("people")).where(F.col("people") >= min_people)
 
 
-def reliability(labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def reliability(labels: DataFrame, rounds: int | None = None) -> DataFrame:
     """(labeller_id, field, answers, accuracy): share of a person's answers expected to be right."""
+    return reliability_of(estimate(labels, rounds))
+
+
+def reliability_of(posteriors: DataFrame) -> DataFrame:
+    """As :func:`reliability`, of an estimate."""
     right = F.sum(F.when(F.col("label") == F.col("value"), F.col("p")).otherwise(0.0))
-    return estimate(labels, rounds).groupBy("labeller_id", "field").agg(F.round(F.sum("p")).cast("bigint").alias("answers"), (right / F.sum("p")).alias("accuracy"))
+    return posteriors.groupBy("labeller_id", "field").agg(F.round(F.sum("p")).cast("bigint").alias("answers"), (right / F.sum("p")).alias("accuracy"))
 
 
 def agreement(labels: DataFrame) -> DataFrame:

@@ -103,10 +103,9 @@ def _fly(final: bool):
     return run
 
 
-def mix_units(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, source, n_tokens): one row per distinct text, of its first document."""
-    d = docs.where("text is not null and source is not null").select("doc_id", "source", F.md5("text").alias("digest")).join(sizes.select("doc_id", "n_tokens"), "doc_id").where("n_tokens > 0")
-    one = d.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("x"))
+def mix_units(sized: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens): one row per distinct text, of its first document; ``sized`` is (doc_id, source, digest, n_tokens)."""
+    one = sized.where("doc_id is not null and source is not null and digest is not null and n_tokens > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("x"))
     return one.select("x.doc_id", "x.source", "x.n_tokens")
 
 
@@ -122,9 +121,12 @@ def rates(units: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return r.withColumn("rate", F.greatest(F.coalesce(rate, F.lit(0.0)), F.lit(0.0))).drop("largest")
 
 
-def mix(docs: DataFrame, sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(selection, rates): selection is (doc_id, source, n_tokens, repeats) with at least one use each."""
-    units = materialize(mix_units(docs, sizes), "units")
+def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(selection, rates): selection is (doc_id, source, n_tokens, repeats) with at least one use each.
+
+    ``sized`` is (doc_id, source, digest, n_tokens), ``digest`` telling equal texts; it is read once, and joined to nothing.
+    """
+    units = materialize(mix_units(sized), "units")
     r = materialize(rates(units, targets, total_tokens), "rates")
     x = units.join(small_side(r.select("source", "rate", "texts")), "source")
     whole = F.floor(F.col("rate") + EPS)

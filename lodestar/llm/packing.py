@@ -96,9 +96,11 @@ def pack(sizes: DataFrame, packs: DataFrame, key: str = "doc_id", size: str = "n
     if not limits:
         return spark.createDataFrame([], out_schema)
     caps = F.explode(F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).alias("capacity")) for n, c in limits]))
-    items = sizes.select(F.col(key).cast("bigint").alias("item_id"), F.col(size).cast("bigint").alias("total")).where("item_id is not null and total > 0").select("*", caps.alias("p")).select("p.pack_name", "p.capacity", "item_id", "total")
+    # written once: counting, full pieces and remainders all read it, and sizes may be costly to work out
+    once = materialize(sizes.select(F.col(key).cast("bigint").alias("item_id"), F.col(size).cast("bigint").alias("total")).where("item_id is not null and total > 0"), "sizes")
+    items = once.select("*", caps.alias("p")).select("p.pack_name", "p.capacity", "item_id", "total")
     whole = F.floor(F.col("total") / F.col("capacity")).cast("int")
-    n = sizes.where(F.col(size) > 0).count()
+    n = once.count()
     full = items.where(whole > 0).select("pack_name", "capacity", "item_id", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
     full = full.select("pack_name", "capacity", "item_id", "piece", F.col("capacity").cast("bigint").alias("size"), F.lit(-1).cast("bigint").alias("group"), F.lit(0).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("room"))
     rest = items.select("pack_name", "capacity", "item_id", whole.alias("piece"), (F.col("total") % F.col("capacity")).alias("size")).where("size > 0")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.catalog import table
 from lodestar.llm import canonical, consensus, entities, history, mixing, packing, sentences, tokens
@@ -52,8 +53,8 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, folder, "documents")
-    return mixing.mix(docs, tokens.count_tokens(docs), table(spark, folder, "mix_targets"))
+    docs = table(spark, folder, "documents").withColumn("digest", F.sha2("text", 256))
+    return mixing.mix(tokens.count_tokens(docs, keep=("source", "digest")), table(spark, folder, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -85,6 +85,14 @@ def test_rounds_blanks_doubles_and_few_people(spark):
     assert [r.value for r in C.consensus(spark.createDataFrame(tie, LABELS), rounds=2).collect()] == ["a"]
 
 
+def test_rounds_end_when_counts_settle(spark):
+    truth, rows = answers(80, seed=3)
+    df = spark.createDataFrame(rows, LABELS)
+    settled = {(r.job_id, r.field): r.value for r in C.consensus(df).collect()}
+    clear = {i: max(p, key=p.get) for i, p in plain_em(rows, 200).items() if max(p.values()) > 0.55}
+    assert len(clear) > 70 and all(settled[i] == v for i, v in clear.items())
+
+
 def test_reliability_and_agreement(spark):
     _, rows = answers(60)
     df = spark.createDataFrame(rows, LABELS)

@@ -77,19 +77,19 @@ def test_shares_and_caps(spark, monkeypatch):
         sizes.append((i, int(rng.integers(20, 300))))
     docs += [(5000, "text 1", "small"), (5001, None, "big"), (5002, "", "big"), (5003, "q", None), (5004, "z", "other")]
     sizes += [(5000, sizes[1][1]), (5001, 0), (5002, 0), (5003, 9), (5004, 9)]
-    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string").selectExpr("*", "1 as p", "2 as rate")
-    s = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint").selectExpr("*", "'clash' as source", "'c' as text")
+    n = dict(sizes)
+    d = spark.createDataFrame([(*x, n[x[0]]) for x in docs], "doc_id bigint, text string, source string, n_tokens bigint").selectExpr("*", "sha2(text, 256) as digest", "1 as p", "2 as rate")
     t = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 4), ("none", 0.1, 3), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int")
-    sel, r = mixing.mix(d, s, t)
+    sel, r = mixing.mix(d, t)
     rep = {x.source: x for x in mixing.shares(sel, r).collect()}
     for name, want in (("big", 0.5), ("mid", 0.3), ("small", 0.2)):
         assert abs(rep[name].actual_share - want) < 0.002 and rep[name].most_repeats <= rep[name].max_repeats
     assert rep["none"].used_tokens == rep["zero"].used_tokens == 0
     rows = sel.collect()
     assert len({x.doc_id for x in rows}) == len(rows) and 5000 not in {x.doc_id for x in rows} and 5003 not in {x.doc_id for x in rows}
-    fixed, fr = mixing.mix(d, s, t, total_tokens=20_000)
+    fixed, fr = mixing.mix(d, t, total_tokens=20_000)
     assert abs(sum(x.n_tokens * x.repeats for x in fixed.collect()) - 20_000) < 600
-    assert mixing.mix(d.limit(0), s, t)[0].count() == 0
+    assert mixing.mix(d.limit(0), t)[0].count() == 0
 
 
 def test_token_counts_are_exact_round_trips(spark):
