@@ -218,19 +218,31 @@ def search_source_id(blobs: pd.Series, tokens: pd.Series, titles: pd.Series, url
     return pd.Series([one(*x) for x in zip(blobs, tokens, titles, urls)], index=blobs.index)
 
 
+#: A tag: double-quoted attribute values hide ">" as long as they hold no "<"; else up to the next ">". Fixed value.
+TAG = re.compile(r'<(?:"[^"<]*"|[^<>"])+>|<[^>]+>')
+
+
 @F.pandas_udf(StringType())
-def strip_html(markup: pd.Series) -> pd.Series:
-    """Readable text of escaped or plain markup, white space collapsed, at most 20,000 characters; null if nothing is left."""
-    tag = re.compile(r"""<(?:"[^"]*"|'[^']*'|[^'">])*>""")
+def unescape_html(markup: pd.Series) -> pd.Series:
+    """Markup with its character references resolved, one level."""
+    return markup.map(html.unescape, na_action="ignore")
 
-    def one(m):
-        if m is None:
-            return None
-        t = tag.sub(" ", html.unescape(m))
-        t = re.sub(r"<[^>]*>", " ", html.unescape(t))
-        return re.sub(r"\s+", " ", t).strip()[:20_000] or None
 
-    return markup.map(one, na_action="ignore")
+def strip_html(markup: Column | str, limit: int | None = None) -> Column:
+    """Readable text of markup whose references are resolved exactly once, white space collapsed; null if nothing is left.
+
+    ``limit`` keeps the first so many characters (for display); without it texts stay whole.
+    """
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(m):
+            t = re.sub(r"\s+", " ", TAG.sub(" ", html.unescape(m))).strip()
+            return (t if limit is None else t[:limit]) or None
+
+        return texts.map(one, na_action="ignore")
+
+    return run(markup)
 
 
 @F.pandas_udf(StringType())
@@ -248,23 +260,31 @@ def search_key(raw: pd.Series) -> pd.Series:
 
 
 def bounded_json(limit: int, long_field: str):
-    """A function that keeps JSON valid under a size limit by cutting its longest field."""
+    """A function that keeps JSON objects valid and at most ``limit`` characters long: their long field is cut; if that is
+    not enough, or the text is no object, a marker with the original length takes its place. Texts within the limit stay as they are."""
 
     @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
+        def fitting(obj: dict, most: int) -> str | None:
+            """The object with the longest beginning of the field that fits: escapes make lengths uneven, so it is searched for."""
+            value, lo, hi = obj[long_field], -1, len(obj[long_field])
+            while lo < hi:
+                mid = (lo + hi + 1) // 2
+                if len(json.dumps({**obj, long_field: value[:mid]})) <= most:
+                    lo = mid
+                else:
+                    hi = mid - 1
+            return json.dumps({**obj, long_field: value[:lo]}) if lo >= 0 else None
+
         def one(t):
             if t is None or len(t) <= limit:
                 return t
             try:
                 obj = json.loads(t)
             except ValueError:
-                return json.dumps({"_truncated": t[: max(0, limit - 40)]})
-            if isinstance(obj, dict) and isinstance(obj.get(long_field), str):
-                spare = len(json.dumps(obj)) - limit
-                obj[long_field] = obj[long_field][: max(0, len(obj[long_field]) - spare)]
-                if len(s := json.dumps(obj)) <= limit:
-                    return s
-            return json.dumps({"_truncated": json.dumps(obj)[: max(0, limit - 40)]})
+                obj = None
+            cut = fitting(obj, limit) if isinstance(obj, dict) and isinstance(obj.get(long_field), str) else None
+            return cut or json.dumps({"_truncated": True, "_original_chars": len(t)})
 
         return texts.map(one, na_action="ignore")
 

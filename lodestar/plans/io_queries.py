@@ -79,6 +79,19 @@ def s14_comment_header(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d, "company_name", "location_raw", "title").select("id", head.alias("c")).select("id", company.alias("company"), title.alias("title"))
 
 
+#: Header, company and title.
+HEADERS = [
+    ("Acme | Senior Engineer | Berlin | Full-time<p>body", "Acme", "Senior Engineer"), ("Acme | Full-time | REMOTE | https://acme.io", "Acme", None), ("Acme | $150k-250k | Data Analyst", "Acme", "Data Analyst"), ("Acme | Founding Lead | New York", "Acme", "Founding Lead"), ("Acme | Remote | Contract", "Acme", None), ("Acme", "Acme", None),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT {i}::INT AS n, '{c}' AS company, {repr(t) if t else 'NULL'} AS title" for i, (_, c, t) in enumerate(HEADERS)))
+def s14_cases(spark: SparkSession, d: str) -> DataFrame:
+    company, title = feeds.comment_header(F.col("raw"))
+    rows = table(spark, d, "region").limit(1).select(F.posexplode(F.array(*[F.lit(h) for h, _, _ in HEADERS])).alias("n", "raw"))
+    return rows.select("n", company.alias("company"), title.alias("title"))
+
+
 @query(f"WITH {POSTINGS} SELECT DISTINCT 'urlset' AS kind, job_url AS url FROM postings WHERE job_url IS NOT NULL")
 def s15_sitemap(spark: SparkSession, d: str) -> DataFrame:
     xml = F.concat(F.lit("<urlset><url><loc>"), "job_url", F.lit("</loc></url></urlset>"))

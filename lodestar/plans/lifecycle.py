@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestar.catalog import table
 from lodestar.operators import eventlog, merge
-from lodestar.plans.common import FACTS, LOG, POSTINGS, SCORED, facts, log, postings
+from lodestar.plans.common import FACTS, JOB_NO_SQL, LOG, POSTINGS, SCORED, facts, job_no, log, postings
 from lodestar.plans.windows_stats import scored
+from lodestar.session import small_side
 
 QUERIES, ORACLE = {}, {}
 
@@ -163,11 +164,11 @@ def u22_rederive(spark: SparkSession, d: str) -> DataFrame:
 _KEPT = f"""{LOG}, seen AS (SELECT user_id, job_id, list_sort(list(CAST(floor(epoch(ts)) AS BIGINT))) AS a FROM log WHERE ev = 'impression' GROUP BY 1, 2)"""
 
 
-@query(f"WITH {SCORED}, {LOG}, m AS (SELECT row_number() OVER (ORDER BY id) - 1 AS job_id, match_score FROM scored QUALIFY job_id < 100) SELECT l.event_id, m.match_score FROM log l JOIN m USING (job_id)")
+@query(f"WITH {SCORED}, {LOG}, m AS (SELECT {JOB_NO_SQL} AS job_id, arg_min(match_score, id) AS match_score FROM scored GROUP BY 1) SELECT l.event_id, m.match_score FROM log l LEFT JOIN m USING (job_id)")
 def t1_stamped_events(spark: SparkSession, d: str) -> DataFrame:
-    top = scored(spark, d).select("id", "match_score").orderBy("id").limit(100)
-    m = top.select((F.row_number().over(Window.orderBy("id")) - 1).cast("bigint").alias("job_id"), "match_score")
-    return log(spark, d).select("event_id", "job_id").join(F.broadcast(m), "job_id").select("event_id", "match_score")
+    """Every event with the score its posting had; null where there is no such posting."""
+    m = scored(spark, d).select("id", "match_score").groupBy(job_no(F.col("id")).alias("job_id")).agg(F.min_by("match_score", "id").alias("match_score"))
+    return log(spark, d).select("event_id", "job_id").join(small_side(m), "job_id", "left").select("event_id", "match_score")
 
 
 @query(f"WITH {_KEPT}, g AS (SELECT user_id, job_id, list_reduce(list_prepend([]::BIGINT[], list_transform(a, lambda x: [x])), lambda k, x: CASE WHEN len(k) = 0 OR k[-1] < x[1] - 86400 THEN list_concat(k, x) ELSE k END) AS kept FROM seen) SELECT user_id, job_id, unnest(kept) AS kept FROM g")

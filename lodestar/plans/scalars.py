@@ -68,6 +68,36 @@ def f6_strip_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "posting_batches").where("description_text is not null").select("posting_no", F.length(S.strip_html("description_text")).alias("chars"))
 
 
+def _cases(spark: SparkSession, d: str, rows: list[str]) -> DataFrame:
+    """(n, raw): literal texts as a one-row table's array."""
+    return table(spark, d, "region").limit(1).select(F.posexplode(F.array(*[F.lit(x) for x in rows])).alias("n", "raw"))
+
+
+def _wanted(rows: list[dict]) -> str:
+    """SQL of the expected values by position."""
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return " UNION ALL ".join(f"SELECT {i}::INT AS n, {', '.join(f'{text(v)} AS {c}' for c, v in row.items())}" for i, row in enumerate(rows))
+
+
+STRIPPED = [
+    ("<p>A &amp; B</p>", "A & B"), ("a &amp;nbsp; b", "a &nbsp; b"), ("x &amp;lt;b&amp;gt; y", "x &lt;b&gt; y"), ("&lt;div&gt;one&lt;/div&gt; two", "one two"), ("<br/>", None), ("", None), ("  plain \n text ", "plain text"),
+    ('<div class="[&:has([data-x])>*]:p-0">kept</div>', "kept"), ('<a title="5 > 4">link</a>', "link"), ('<a title="open>text</a> more', "text more"), ("a <> b, 1 < 2", "a <> b, 1 < 2"), ("<i>caf&eacute;</i>", "café"),
+]
+
+
+@query(_wanted([{"text": w} for _, w in STRIPPED]))
+def f6_markup_cases(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, d, [r for r, _ in STRIPPED]).select("n", S.strip_html("raw").alias("text"))
+
+
+ESCAPED = [("&lt;h2&gt;About&amp;nbsp;us:&lt;/h2&gt; R&amp;amp;D", "About us: R&D"), ("plain &amp;amp; simple", "plain & simple")]
+
+
+@query(_wanted([{"text": w} for _, w in ESCAPED]))
+def f6_escaped_twice(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, d, [r for r, _ in ESCAPED]).select("n", S.strip_html(S.unescape_html("raw")).alias("text"))
+
+
 @query("SELECT company_id, coalesce(nullif(trim(regexp_replace(lower(company_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown') AS slug FROM companies")
 def f7_slugify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "companies").select("company_id", S.slugify(F.col("company_name")).alias("slug"))
@@ -92,10 +122,20 @@ def f10_location_flags(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d, "location_raw").join(facts(spark, d, "remote_policy"), "id", "left").select("id", nyc.alias("nyc"), remote.alias("remote"))
 
 
-@query()
+@query(f"WITH {POSTINGS} SELECT id, true AS valid, true AS fits, 'true' AS title_kept FROM postings WHERE title IS NOT NULL")
 def f11_bounded_json(spark: SparkSession, d: str) -> DataFrame:
-    p = postings(spark, d, "title", "description_text").select("id", F.to_json(F.struct("title", F.col("description_text").alias("description"))).alias("raw"))
-    return p.select("id", S.bounded_json(600, "description")("raw").alias("bounded"))
+    """Every bounded payload reads as JSON again, keeps to its limit and, where only the long field was cut, its other fields."""
+    p = postings(spark, d, "title", "description_text").where("title is not null").select("id", "title", F.to_json(F.struct("title", F.col("description_text").alias("description"))).alias("raw"))
+    p = p.withColumn("bounded", S.bounded_json(600, "description")("raw"))
+    return p.select("id", F.get_json_object("bounded", "$").isNotNull().alias("valid"), (F.length("bounded") <= 600).alias("fits"), (F.get_json_object("bounded", "$.title") == F.col("title")).cast("string").alias("title_kept"))
+
+
+BOUNDED = [('{"a": 1}', '{"a": 1}'), ('{"a": 1, "d": "' + "x" * 80 + '"}', '{"a": 1, "d": "' + "x" * 43 + '"}'), ('{"a": "' + "y" * 80 + '"}', '{"_truncated": true, "_original_chars": 89}'), ("z" * 70, '{"_truncated": true, "_original_chars": 70}'), ('{"d": "' + '\\"' * 60 + '"}', '{"d": "' + '\\"' * 25 + '"}')]
+
+
+@query(_wanted([{"bounded": w} for _, w in BOUNDED]))
+def f11_cases(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, d, [r for r, _ in BOUNDED]).select("n", S.bounded_json(60, "d")("raw").alias("bounded"))
 
 
 @query()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.catalog import table
-from lodestar.operators import rules, stats, textmine
-from lodestar.plans.common import CRITERIA, LOG, POSTINGS, SCORED, facts, log, postings
+from lodestar.operators import gate, rules, stats, textmine, timestamps
+from lodestar.plans.common import CRITERIA, FACT_SQL, FACTS, FLAGS, GATE, JOB_NO_SQL, LOG, POSTINGS, SCORED, STOPPED_SQL, TIER_SQL, extracted, facts, job_no, log, parts_sql, postings
 
 QUERIES, ORACLE = {}, {}
 
@@ -24,12 +26,16 @@ def query(sql: str | None = None):
     return add
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct fact rows with their posting's flags, scored by CRITERIA."""
+def scorable(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct fact rows with their posting's columns and the facts worked out of its texts."""
     lvl = F.lower("seniority_level")
-    f = facts(spark, d, "seniority_level", "role_archetype", "remote_policy").withColumn("seniority_level", F.when(lvl.isin(*rules.SENIORITY), lvl))
-    j = f.join(postings(spark, d, "platform", "title", "first_seen", "location_is_nyc", "location_is_remote"), "id")
-    return rules.score(j, CRITERIA)
+    f = facts(spark, d, "seniority_level", "role_archetype", "remote_policy", "employment_type").withColumn("seniority_level", F.when(lvl.isin(*rules.SENIORITY), lvl))
+    return extracted(f.join(postings(spark, d, "platform", "company_name", "title", "description_text", "first_seen", "location_is_nyc", "location_is_remote"), "id"))
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Facts scored by CRITERIA."""
+    return rules.score(scorable(spark, d), CRITERIA, FLAGS)
 
 
 # windows
@@ -118,12 +124,33 @@ def w12_change_tracking(spark: SparkSession, d: str) -> DataFrame:
 # ordering and paging
 
 
-@query(f"""WITH {SCORED}, seen AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
-SELECT id, platform, match_score, row_number() OVER (ORDER BY match_score DESC, first_seen DESC NULLS LAST, id) AS rank FROM scored QUALIFY rank <= 25""")
+@query(f"""WITH {SCORED}, {LOG}, tiers AS (SELECT id, {JOB_NO_SQL} AS job_no, {TIER_SQL} AS tier FROM postings),
+mine AS (SELECT job_id, bool_or(ev = 'impression') AS seen, arg_max(ev, (ts, event_id)) FILTER (WHERE ev IN ('save', 'unsave')) = 'save' AS saved FROM log WHERE user_id = 7 GROUP BY 1),
+ranked AS (SELECT s.id, s.platform, s.match_score, coalesce(m.seen, false) AS seen, coalesce(m.saved, false) AS saved
+  FROM scored s JOIN tiers t USING (id) LEFT JOIN mine m ON m.job_id = t.job_no WHERE t.tier <= 2)
+SELECT count(*) AS listed, count(*) FILTER (WHERE seen) AS seen, count(*) FILTER (WHERE saved) AS saved, sum(match_score)::BIGINT AS total FROM ranked""")
+def l1_gated_list(spark: SparkSession, d: str) -> DataFrame:
+    """Totals over the whole gated list with a user's state: what the ranked list draws its pages from."""
+    return _gated(spark, d).agg(F.count("*").alias("listed"), F.count_if("seen").alias("seen"), F.count_if("saved").alias("saved"), F.sum("match_score").alias("total"))
+
+
+def _gated(spark: SparkSession, d: str, user: int = 7) -> DataFrame:
+    """Scored postings that pass the gate, with whether the user saw them and has them saved."""
+    x = scorable(spark, d)
+    x = rules.score(x.where(gate.tier(GATE, x.columns) <= GATE["max_tier"]), CRITERIA, FLAGS)
+    state = log(spark, d).where(F.col("user_id") == user).groupBy("job_id").agg(F.bool_or(F.col("ev") == "impression").alias("seen"), (F.max_by(F.when(F.col("ev").isin("save", "unsave"), F.col("ev")), F.when(F.col("ev").isin("save", "unsave"), F.struct("ts", "event_id"))) == "save").alias("saved"))
+    no = F.lit(False)
+    return x.withColumn("job_id", job_no(F.col("id"))).join(state, "job_id", "left").withColumns({"seen": F.coalesce("seen", no), "saved": F.coalesce("saved", no)})
+
+
+@query()
 def l1_ranked_list(spark: SparkSession, d: str) -> DataFrame:
-    order = [F.desc("match_score"), F.desc_nulls_last("first_seen"), F.asc("id")]
-    top = scored(spark, d).orderBy(*order).limit(25)
-    return top.select("id", "platform", "match_score", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    """First page of a user's list: gated, scored, newest instant first among equals, with seen and saved state."""
+    instants = timestamps.normalize_timestamps(table(spark, d, "jobs"), table(spark, d, "platforms")).where("field_name = 'first_seen'").groupBy("id").agg(F.max("utc_seconds").alias("first_seen_at"))
+    x = _gated(spark, d).join(instants, "id", "left")
+    order = [F.desc("match_score"), F.desc_nulls_last("first_seen_at"), F.asc("id")]
+    top = x.select("id", "platform", "match_score", "seen", "saved", "first_seen_at").orderBy(*order).limit(25)
+    return top.select("*", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
 @query(f"WITH {SCORED}, k AS (SELECT match_score AS s, id AS i FROM scored ORDER BY match_score DESC, id LIMIT 1 OFFSET 24), page AS (SELECT scored.id, scored.match_score FROM scored, k WHERE match_score < s OR (match_score = s AND id > i) ORDER BY match_score DESC, id LIMIT 26) SELECT id, match_score FROM page ORDER BY match_score DESC, id LIMIT 25")
@@ -188,16 +215,30 @@ def m1_rule_score(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select("id", "match_score")
 
 
-@query(f"WITH {SCORED}, r AS (SELECT 50 AS base, dl, dr, dp, dm FROM scored), x AS (SELECT 'base' AS family, base AS delta FROM r UNION ALL SELECT 'seniority', dl FROM r UNION ALL SELECT 'archetype', dr FROM r WHERE dl > -100 UNION ALL SELECT 'location', dp FROM r WHERE dl > -100 AND dr > -100 UNION ALL SELECT 'remote', dm FROM r WHERE dl > -100 AND dr > -100) SELECT family, count(*) AS n, sum(delta)::DOUBLE AS total FROM x WHERE delta <> 0 GROUP BY 1")
+@query(f"""WITH {POSTINGS}, {FACTS}, {FACT_SQL}, profiles(profile, b, ceiling, backend, remote) AS (VALUES ('one', 50, 4, 20, true), ('two', 35, 10, 40, false), ('three', 60, 0, -100, true)),
+parts AS (SELECT *, {parts_sql("ceiling", "backend", "remote")} FROM base, profiles)
+SELECT id, profile, CASE WHEN {STOPPED_SQL} THEN 0 ELSE greatest(0, least(100, b + dl + dy + dr + da + dt + dp + dm + df)) END AS match_score FROM parts""")
+def m1_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Every posting scored for every profile of a table, in one plan."""
+    rows = []
+    for name, base, ceiling, backend, remote in (("one", 50, 4, 20, True), ("two", 35, 10, 40, False), ("three", 60, 0, -100, True)):
+        c = CRITERIA | {"base": base, "years_experience": CRITERIA["years_experience"] | {"max_required": ceiling}, "archetypes": CRITERIA["archetypes"] | {"backend": backend}, "location": CRITERIA["location"] | {"accept_remote": remote}}
+        rows.append((name, json.dumps(c)))
+    return rules.score_profiles(scorable(spark, d), spark.createDataFrame(rows, "profile string, criteria string"), FLAGS).select("id", "profile", "match_score")
+
+
+@query(f"""WITH {SCORED}, x AS (SELECT 'base' AS family, 50 AS delta FROM scored UNION ALL SELECT 'seniority', dl FROM scored UNION ALL SELECT 'years', dy FROM scored WHERE dl > -100 UNION ALL SELECT 'archetype', dr FROM scored WHERE dl > -100
+UNION ALL SELECT 'ai', da FROM scored WHERE dl > -100 AND dr > -100 UNION ALL SELECT unnest(['tech', 'location', 'remote', 'flag']), unnest([dt, dp, dm, df]) FROM scored WHERE NOT ({STOPPED_SQL}))
+SELECT family, count(*) AS n, sum(delta)::DOUBLE AS total FROM x WHERE delta <> 0 GROUP BY 1""")
 def a17_reason_totals(spark: SparkSession, d: str) -> DataFrame:
     r = scored(spark, d).select(F.explode("match_reasons").alias("r")).select(F.substring_index("r.rule", ":", 1).alias("family"), F.col("r.delta").alias("delta"))
     return r.groupBy("family").agg(F.count("*").alias("n"), F.sum("delta").alias("total"))
 
 
-@query(f"WITH {SCORED} SELECT count(*) AS n, count(*) FILTER (WHERE match_score = 50 + dl + dr + dp + dm) AS exact, count(*) FILTER (WHERE match_score = 0) AS zero FROM scored")
+@query(f"WITH {SCORED} SELECT count(*) AS n, count(*) FILTER (WHERE match_score = 50 + dl + dy + dr + da + dt + dp + dm + df AND NOT (dl <= -100 OR dr <= -100 OR da <= -100)) AS exact, count(*) FILTER (WHERE match_score = 0) AS zero FROM scored")
 def m2_reasons_sum(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).withColumn("t", F.aggregate("match_reasons", F.lit(0.0), lambda a, r: a + r["delta"]))
-    return s.agg(F.count("*").alias("n"), F.count_if(F.col("t") == F.col("match_score")).alias("exact"), F.count_if(F.col("match_score") == 0).alias("zero"))
+    return s.agg(F.count("*").alias("n"), F.count_if((F.col("t") == F.col("match_score")) & ~F.exists("match_reasons", lambda r: r["delta"] <= rules.HARD_EXCLUDE_AT)).alias("exact"), F.count_if(F.col("match_score") == 0).alias("zero"))
 
 
 @query(f"WITH {SCORED} SELECT match_score >= 40 AS stored, count(*) AS n, avg(match_score) AS mean FROM scored GROUP BY 1")
@@ -205,7 +246,8 @@ def m3_floor(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).groupBy((F.col("match_score") >= 40).alias("stored")).agg(F.count("*").alias("n"), F.avg("match_score").alias("mean"))
 
 
-@query(f"WITH {SCORED} SELECT id, concat_ws(';', CASE WHEN role_archetype IN ('backend','data','frontend','security') AND dl > -100 THEN 'archetype:' || role_archetype END) AS phrases FROM scored")
+@query(f"""WITH {SCORED} SELECT id, concat_ws(';', CASE WHEN dl > -100 AND dr > 0 THEN 'archetype:' || role_archetype END, CASE WHEN dl > -100 AND dr > -100 AND da > 0 THEN 'ai:' || ai END,
+CASE WHEN NOT ({STOPPED_SQL}) AND dt > 0 THEN 'tech' END) AS phrases FROM scored""")
 def f61_positive_phrases(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select("id", F.array_join(rules.phrases(F.col("match_reasons")), ";").alias("phrases"))
 
@@ -359,7 +401,7 @@ def r16_field_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return k.join(f, "id", "left").groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("s") == F.col("key")).alias("right"))
 
 
-@query(f"WITH {SCORED}, y AS (SELECT *, dr >= 15 AS good FROM scored), a AS (SELECT good FROM y ORDER BY match_score DESC, id LIMIT 50), b AS (SELECT good FROM y ORDER BY first_seen DESC NULLS LAST, id LIMIT 50) SELECT 'rules' AS baseline, count(*) FILTER (WHERE good) AS hits FROM a UNION ALL SELECT 'recency', count(*) FILTER (WHERE good) FROM b")
+@query(f"WITH {SCORED}, y AS (SELECT *, role_archetype IN ('backend', 'data') AS good FROM scored), a AS (SELECT good FROM y ORDER BY match_score DESC, id LIMIT 50), b AS (SELECT good FROM y ORDER BY first_seen DESC NULLS LAST, id LIMIT 50) SELECT 'rules' AS baseline, count(*) FILTER (WHERE good) AS hits FROM a UNION ALL SELECT 'recency', count(*) FILTER (WHERE good) FROM b")
 def r17_baselines(spark: SparkSession, d: str) -> DataFrame:
     y = scored(spark, d).select("id", "match_score", "first_seen", F.coalesce(F.col("role_archetype").isin("backend", "data"), F.lit(False)).alias("good"))
     a = y.orderBy(F.desc("match_score"), "id").limit(50).agg(F.lit("rules").alias("baseline"), F.count_if("good").alias("hits"))

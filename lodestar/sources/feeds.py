@@ -112,11 +112,14 @@ def json_ld_postings(pages: DataFrame, column: str, key: str, depth: int = 12) -
 
 
 def comment_header(c):
-    """(company, title) of a comment's pipe-separated first line: the company comes first, the title is the segment that looks most like a role."""
+    """(company, title) of a comment's pipe-separated first line: the company comes first, the title is the segment that looks most like a role.
+
+    Where every segment looks like a place, pay, terms or an address (a score below 0), there is no title.
+    """
     parts = F.transform(F.split(F.split(c, "<p>|\n").getItem(0), r"\s*\|\s*"), lambda x: F.trim(x))
     rest = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda x: x != "")
-    scored = F.transform(rest, lambda x, i: F.struct(S.segment_score(x).alias("s"), (-i).alias("i"), x.alias("x")))
-    return F.element_at(parts, 1), F.array_max(scored).getField("x")
+    scored = F.array_max(F.transform(rest, lambda x, i: F.struct(S.segment_score(x).alias("s"), (-i).alias("i"), x.alias("x"))))
+    return F.element_at(parts, 1), F.when(scored["s"] >= 0, scored["x"])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:

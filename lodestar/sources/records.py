@@ -47,8 +47,8 @@ def _fields(platform: str, p: Column) -> dict[str, Column]:
     """What is special about each source; columns left out are null."""
     g = p.getField
     if platform == "greenhouse":
-        # the shown date is the update, the instant the first publication
-        return {"source_id": g("id").cast("string"), "title": g("title"), "location_raw": g("location")["name"], "department": F.get(g("departments"), F.lit(0))["name"], "job_url": g("absolute_url"), "posted_at": F.coalesce(g("updated_at"), g("first_published")), "posted_at_ts": F.coalesce(g("first_published"), g("updated_at")), "description_text": S.strip_html(g("content"))}
+        # the shown date is the update, the instant the first publication; content arrives escaped one level deeper than elsewhere
+        return {"source_id": g("id").cast("string"), "title": g("title"), "location_raw": g("location")["name"], "department": F.get(g("departments"), F.lit(0))["name"], "job_url": g("absolute_url"), "posted_at": F.coalesce(g("updated_at"), g("first_published")), "posted_at_ts": F.coalesce(g("first_published"), g("updated_at")), "description_text": S.strip_html(S.unescape_html(g("content")))}
     if platform == "lever":
         at = F.date_format(F.timestamp_millis(g("createdAt")), "yyyy-MM-dd'T'HH:mm:ss")
         loc = F.coalesce(g("categories")["location"], F.nullif(F.array_join(g("categories")["allLocations"], ", "), F.lit("")))

@@ -1,5 +1,6 @@
 """Semantic traps of the relational operators on small fixtures."""
 
+import json
 import math
 
 import pytest
@@ -25,7 +26,7 @@ def test_gate_shapes_and_null_arms(spark):
 
 def test_reasons_sum_or_stop(spark):
     df = spark.createDataFrame([("mid", "backend", None, True, None), (None, None, None, None, None), ("exec", "backend", None, True, None), ("senior", "admin", "onsite", False, False)], "seniority_level string, role_archetype string, remote_policy string, location_is_nyc boolean, location_is_remote boolean")
-    crit = {"base": 50, "seniority": {"target": ["mid"], "tolerate": {"senior": -5}, "hard_exclude": ["exec"], "penalty_per_level": 7, "unknown_penalty": -4}, "archetypes": {"backend": 60, "admin": -100}, "location": {"nyc_ok": True, "neither_penalty": -12, "onsite_elsewhere_penalty": -30}, "unknown_penalty": {"role_archetype": -3, "remote_policy": -2}}
+    crit = {"base": 50, "seniority": {"target": ["mid"], "tolerate": {"senior": -5}, "hard_exclude": ["exec"], "penalty_per_level": 7, "unknown_penalty": -4}, "archetypes": {"backend": 60, "admin": -100}, "location": {"accept_nyc": True, "neither_penalty": -12, "onsite_elsewhere_penalty": -30}, "unknown_penalty": {"role_archetype": -3, "remote_policy": -2}}
     got = [(r.match_score, [x.rule for x in r.match_reasons]) for r in rules.score(df, crit).collect()]
     assert got[0] == (100, ["base", "archetype:backend"])
     assert got[1] == (29, ["base", "seniority:unknown", "archetype:missing", "location:unmatched", "remote:missing"])
@@ -33,6 +34,24 @@ def test_reasons_sum_or_stop(spark):
     assert got[3] == (0, ["base", "seniority:senior", "archetype:admin"])
 
 
+def test_every_rule_and_profiles_as_a_table(spark):
+    schema = "seniority_level string, years_experience_min int, role_archetype string, ai_involvement string, tech_stack array<string>, remote_policy string, location_is_nyc boolean, location_is_remote boolean, junior_ok boolean"
+    rows = [("mid", 9, "backend", "core", ["node.js", "python3"], None, True, None, True), (None, None, None, None, None, None, None, None, None), ("staff", 2, "odd", "avoid", [], "onsite", False, False, False), ("odd", 2, "backend", "odd", [], "remote", None, True, False)]
+    crit = {"base": 40, "seniority": {"target": ["mid"], "penalty_per_level": 6}, "years_experience": {"max_required": 3, "over_penalty_per_year": 5, "over_penalty_cap": 20}, "archetypes": {"backend": 10}, "ai_involvement": {"core": 5, "avoid": -100}, "tech": {"boost": {"node": 4, "python": 4}, "cap": 6}, "location": {"accept_nyc": True, "onsite_elsewhere_penalty": -30, "neither_penalty": -10}, "flags": {"junior_ok": 3}, "unknown_penalty": {"years_experience_min": -2, "ai_involvement": -1, "tech_stack": -1, "junior_ok": -1}}
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "1 as profile_no")
+    got = [(r.match_score, [(x.rule, x.delta) for x in r.match_reasons]) for r in rules.score(df, crit, ["junior_ok"]).collect()]
+    assert got[0] == (44, [("base", 40.0), ("years:9_wanted_vs_3", -20.0), ("archetype:backend", 10.0), ("ai:core", 5.0), ("tech", 6.0), ("flag:junior_ok", 3.0)])
+    assert got[1] == (25, [("base", 40.0), ("years:missing", -2.0), ("ai:missing", -1.0), ("tech:missing", -1.0), ("location:unmatched", -10.0), ("flag:junior_ok:missing", -1.0)])
+    assert got[2] == (0, [("base", 40.0), ("seniority:staff:2_levels_off", -12.0), ("ai:avoid", -100.0)])
+    assert got[3] == (39, [("base", 40.0), ("archetype:backend", 10.0), ("ai:odd:unpriced", -1.0), ("location:unmatched", -10.0)])
+    profiles = spark.createDataFrame([("a", json.dumps(crit)), ("b", json.dumps({"base": 7})), ("c", "not json")], "profile string, criteria string")
+    by = {}
+    for r in rules.score_profiles(df, profiles, ["junior_ok"]).collect():
+        by.setdefault(r.profile, []).append(r.match_score)
+    assert by == {"a": [g[0] for g in got], "b": [7] * 4, "c": [0] * 4}
+    assert rules.score_profiles(df.limit(0), profiles).count() == 0 and rules.score_profiles(df, profiles.limit(0)).count() == 0
+
+
 def test_latest_fold_is_no_filter(spark):
     df = spark.createDataFrame([(1, 1, 1, "save"), (1, 1, 2, "unsave"), (2, 1, 1, "save")], "u int, j int, t int, ev string")
     got = folds.latest_by(df, ["u", "j"], ["t"], ["ev"]).where("ev = 'save'").collect()
@@ -106,7 +125,7 @@ def test_cosine_join_loses_no_pair(spark):
 
 
 def test_scalars(spark):
-    df = spark.createDataFrame([(" Mid-level ", "https://x.io/a/?utm_source=f&b=2&a=1#top", "<p>A &amp;amp; B</p>", "Ünïcode  C++!"), (None, None, None, None)], "a string, b string, c string, d string")
+    df = spark.createDataFrame([(" Mid-level ", "https://x.io/a/?utm_source=f&b=2&a=1#top", "<p>A &amp; B</p>", "Ünïcode  C++!"), (None, None, None, None)], "a string, b string, c string, d string")
     r = df.select(S.closed(F.col("a"), S.SENIORITY), S.normalize_url("b"), S.strip_html("c"), S.search_key("d"), S.slugify(F.col("d"))).collect()
     assert tuple(r[0])[:4] == ("mid", "https://x.io/a?a=1&b=2", "A & B", "unicode c++") and r[1][0] is None and r[1][1] == "" and r[1][4] == "unknown"
 
