@@ -62,16 +62,6 @@ def pooled_rate(cells: DataFrame, keys: Sequence[str], k: str, n: str) -> DataFr
     return g.withColumn("rate", F.try_divide("k", "n")).withColumn("low", low).withColumn("high", high)
 
 
-def drained(sizes: Sequence[int], deadline: int) -> int:
-    """Batches a drain loop runs: until one is empty, the deadline, or no progress."""
-    done = 0
-    for n in sizes:
-        if n == 0 or done >= deadline:
-            break
-        done += 1
-    return done
-
-
 def as_set(c: Column) -> Column:
     """Sorted set of a JSON list, or of the text itself where it is none."""
     return F.array_sort(F.array_distinct(F.coalesce(F.from_json(c, "array<string>"), F.array(c))))

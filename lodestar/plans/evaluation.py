@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.catalog import table
 from lodestar.functions import scalar as S
-from lodestar.operators import gate, graphs, ranker, stats, textmine, voting
+from lodestar.operators import gate, graphs, merge, ranker, stats, submissions, textmine, voting
 from lodestar.plans.common import FACTS, LOG, POSTINGS, SCORED, facts, log, postings
 from lodestar.plans.windows_stats import _BLOCKS, _TFIDF, _scores, _tokens, scored
 from lodestar.session import scratch
+from lodestar.sinks import writers
 from lodestar.sources import feeds
+from lodestar.streaming import engagement
 
 QUERIES, ORACLE = {}, {}
+#: Snapshots in order, each with the verdicts of its merge into the one before.
+_SNAPS = """snaps AS (SELECT snapshot_no, id, lower(trim(arg_max(content_hash, loaded_at))) AS h, lower(trim(arg_max(status, loaded_at))) AS status FROM job_snapshots GROUP BY 1, 2),
+nos AS (SELECT snapshot_no, row_number() OVER (ORDER BY snapshot_no) AS no FROM (SELECT DISTINCT snapshot_no FROM snaps)), o AS (SELECT s.*, n.no FROM snaps s JOIN nos n USING (snapshot_no)),
+v AS (SELECT b.snapshot_no, CASE WHEN a.id IS NULL THEN 'new' WHEN a.h IS NOT DISTINCT FROM b.h AND a.status = 'open' THEN 'unchanged' ELSE 'updated' END AS verdict FROM o b LEFT JOIN o a ON a.id = b.id AND a.no = b.no - 1 WHERE b.no > 1)"""
 
 
 def query(sql: str | None = None):
@@ -51,31 +57,6 @@ def pred6_location_columns(spark: SparkSession, d: str) -> DataFrame:
     return p.where(gate.location_ok(["location_is_nyc", "location_is_remote"], p.columns)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT source AS facet, count(*) AS slices FROM (SELECT 'region' AS source, n_regionkey AS v FROM nation UNION ALL SELECT 'segment', 0 FROM nation WHERE false) GROUP BY 1 HAVING count(*) > 0")
-def s7_facet_slices(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    counts = {r[0]: r[1] for r in n.groupBy(F.col("n_regionkey").cast("string")).count().collect()}
-    facet, slices = feeds.facet_slices({"region": counts, "one": {"all": 25}}, sum(counts.values()), 25)
-    return n.agg(F.lit(facet).alias("facet"), F.count("*").alias("slices")).where(F.lit(len(slices)) == 5)
-
-
-@query("SELECT ats, count(*) BETWEEN 0.98 * count(*) - 5 AND 1.02 * count(*) + 5 AS reconciled FROM companies GROUP BY 1")
-def s9_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "companies").groupBy("ats").agg(F.count("*").alias("n"))
-    slack = F.greatest(F.lit(5), F.floor(F.col("n") * 2 / 100))
-    return g.select("ats", F.col("n").between(F.col("n") - slack, F.col("n") + slack).alias("reconciled"))
-
-
-@query("SELECT company_token AS shortcode, min(company_id) AS company_id, count(*) AS seen FROM companies WHERE company_token IS NOT NULL GROUP BY 1")
-def s5_dedupe_by_code(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "companies").where("company_token is not null").groupBy(F.col("company_token").alias("shortcode")).agg(F.min("company_id").alias("company_id"), F.count("*").alias("seen"))
-
-
-@query("SELECT platform, count(*) >= 250 AS truncated, count(*) AS got FROM jobs GROUP BY 1")
-def s3_page_cap(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "jobs").groupBy("platform").agg((F.count("*") >= 250).alias("truncated"), F.count("*").alias("got"))
-
-
 @query()
 def s13_json_walk(spark: SparkSession, d: str) -> DataFrame:
     nested = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("jobPosting").alias("@type"), F.col("title")).alias("inner"))).alias("deep")))
@@ -148,76 +129,113 @@ def r14_ordering_report(spark: SparkSession, d: str) -> DataFrame:
     return r.select("g", "positives", F.round("precision", 6).alias("precision"))
 
 
-@query(f"WITH {SCORED} SELECT id FROM scored WHERE match_score >= 40")
+@query(f"WITH {LOG} SELECT user_id, coalesce(arg_max(value, (ts, event_id)) FILTER (WHERE ev = 'open'), arg_max(value, (ts, event_id))) AS quota, max(ts) AS checked_in FROM log GROUP BY 1")
+def t16_check_in(spark: SparkSession, d: str) -> DataFrame:
+    at = F.struct("ts", "event_id")
+    last_open = F.max(F.when(F.col("ev") == "open", F.struct("ts", "event_id", "value"))).getField("value")
+    return log(spark, d).groupBy("user_id").agg(F.coalesce(last_open, F.max_by("value", at)).alias("quota"), F.max("ts").alias("checked_in"))
+
+
+@query("SELECT ref_id, array_to_string(list_sort(list_distinct(string_split(coalesce(alt_names, ref_value), '|'))), '|') AS names FROM canonical_values")
+def f59_as_set(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("alt_names").isNotNull(), F.to_json(F.split("alt_names", r"\|"))).otherwise(F.col("ref_value"))
+    return table(spark, d, "canonical_values").select("ref_id", F.array_join(voting.as_set(text), "|").alias("names"))
+
+
+@query("SELECT source, sha256('{\"max_repeats\":' || max_repeats || ',\"source\":\"' || source || '\"}') AS sha FROM mix_targets")
+def f64_persona_digest(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mix_targets").select("source", F.sha2(F.to_json(F.struct("max_repeats", "source")), 256).alias("sha"))
+
+
+@query(f"WITH {SCORED}, x AS (SELECT count(*) AS n FROM scored WHERE match_score >= 40) SELECT least(n, 60) AS collected, n > 60 AS truncated FROM x")
 def l9_full_crawl(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).where("match_score >= 40").select("id")
+    """A client's crawl of the ranked list: pages of 20, three at most, and whether more was left."""
+    top = scored(spark, d).where("match_score >= 40").select("id", "match_score").orderBy(F.desc("match_score"), "id").limit(61)
+    return top.agg(F.least(F.count("*"), F.lit(60)).alias("collected"), (F.count("*") > 60).alias("truncated"))
 
 
-@query("SELECT platform, count(*) AS written FROM posting_batches WHERE description_text IS NOT NULL GROUP BY 1")
+@query("""SELECT CASE WHEN description_text IS NULL THEN 'no text' WHEN length(title) > 24 THEN 'long title' WHEN company_token NOT LIKE '%-%' THEN 'odd token' ELSE 'written' END AS reason, count(*) AS rows FROM posting_batches GROUP BY 1""")
 def u15_validated_write(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "written")
-    table(spark, d, "posting_batches").where("description_text is not null").select("platform", "posting_no").write.partitionBy("platform").parquet(path)
-    return spark.read.schema("posting_no bigint, platform string").parquet(path).groupBy("platform").agg(F.count("*").alias("written"))
+    checks = {"no text": F.col("description_text").isNotNull(), "long title": F.length("title") <= 24, "odd token": F.col("company_token").contains("-")}
+    p = table(spark, d, "posting_batches").select("posting_no", "title", "company_token", "description_text")
+    return submissions.write_validated(p, scratch(spark, "written"), checks).where("rows > 0")
 
 
-@query("SELECT ref_field AS pass, count(*) AS applied FROM canonical_values WHERE ref_field <> 'department' GROUP BY 1")
+@query("SELECT * FROM (VALUES (1, 'fill', true), (1, 'trim', true), (2, 'fill', false), (2, 'trim', false), (2, 'last', true)) AS t(run, pass, applied)")
 def u23_ledger(spark: SparkSession, d: str) -> DataFrame:
-    done = spark.createDataFrame([("department",)], "ref_field string")
-    todo = table(spark, d, "canonical_values").join(F.broadcast(done), "ref_field", "left_anti")
-    return todo.groupBy(F.col("ref_field").alias("pass")).agg(F.count("*").alias("applied"))
+    """Two runs of a list of passes, the second with one more: each pass is applied once."""
+    ledger, out = scratch(spark, "ledger"), scratch(spark, "passes")
 
+    def step(name: str):
+        return lambda: table(spark, d, "mix_targets").select(F.lit(name).alias("by"), "source").write.mode("append").parquet(out)
 
-@query(f"WITH {LOG} SELECT job_id AS dataset, max(ts) FILTER (WHERE ev = 'save') AS watermark, arg_max(ev, (ts, event_id)) <> 'open' AS released FROM log GROUP BY 1")
-def t11_success_releases(spark: SparkSession, d: str) -> DataFrame:
-    return log(spark, d).groupBy(F.col("job_id").alias("dataset")).agg(F.max(F.when(F.col("ev") == "save", F.col("ts"))).alias("watermark"), (F.max_by("ev", F.struct("ts", "event_id")) != "open").alias("released"))
+    first = submissions.run_passes(spark, ledger, {n: step(n) for n in ("fill", "trim")})
+    second = submissions.run_passes(spark, ledger, {n: step(n) for n in ("fill", "trim", "last")})
+    applied = spark.read.schema("by string, source string").parquet(out).groupBy("by").agg(F.count("*").alias("n"))
+    one = table(spark, d, "mix_targets").agg(F.count("*").alias("m"))
+    runs = first.select(F.lit(1).alias("run"), "*").unionByName(second.select(F.lit(2).alias("run"), "*"))
+    # a pass applied twice has written twice as many rows and drops out here
+    return runs.join(applied.crossJoin(F.broadcast(one)).where("n = m").select(F.col("by").alias("pass")), "pass").select("run", "pass", "applied")
 
 
-@query("SELECT batch_no, count(*) AS fetched, count(description_text) AS accepted, count(*) - count(description_text) AS rejected, count(description_text) > 0 AS advances FROM posting_batches GROUP BY 1")
-def t12_submission(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "posting_batches").groupBy("batch_no").agg(F.count("*").alias("fetched"), F.count("description_text").alias("accepted"))
-    return g.withColumn("rejected", F.col("fetched") - F.col("accepted")).withColumn("advances", F.col("accepted") > 0)
+_RAW = """raw AS (SELECT posting_no, 'q' || (batch_no % 7) AS dataset, CASE WHEN posting_no % 11 = 0 THEN '{"title": "cut' WHEN posting_no % 13 = 0 THEN '{"n": 5}' ELSE '{"title": "t", "n": 1}' END AS body FROM posting_batches WHERE batch_no % 7 <> 3),
+state AS (SELECT * FROM (VALUES ('q0', 'w0', 'a'), ('q1', 'w0', 'a'), ('q2', 'w0', 'b'), ('q3', 'w0', 'b'), ('q4', 'w0', NULL), ('q5', 'w0', 'c'), ('q6', 'w0', NULL), ('q9', 'w0', 'd')) AS t(dataset, watermark, holder)),
+n AS (SELECT dataset, count(*) AS fetched, count(*) FILTER (WHERE posting_no % 11 <> 0 AND posting_no % 13 <> 0) AS accepted FROM raw GROUP BY 1)"""
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (WHERE event_type = 'view') AS rejected FROM events")
-def t13_parse_submission(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("event_type") == "view", F.lit('{"k": "bad')).otherwise(F.col("props"))
-    k = F.from_json(raw, "k bigint", {"mode": "PERMISSIVE"}).getField("k")
-    return table(spark, d, "events").agg(F.count("*").alias("rows"), F.count_if(k.isNull()).alias("rejected"))
+def _submitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(parsed rows, state after settling): submissions for q0 to q6, q3 among them empty; q9 was not asked for."""
+    n = F.col("posting_no")
+    body = F.when(n % 11 == 0, '{"title": "cut').when(n % 13 == 0, '{"n": 5}').otherwise('{"title": "t", "n": 1}')
+    raw = table(spark, d, "posting_batches").where("batch_no % 7 <> 3").select("posting_no", F.concat(F.lit("q"), F.col("batch_no") % 7).alias("dataset"), body.alias("body"))
+    rows = submissions.parsed(raw, "body", "title string, n bigint", ["title"])
+    state = spark.createDataFrame([("q0", "w0", "a"), ("q1", "w0", "a"), ("q2", "w0", "b"), ("q3", "w0", "b"), ("q4", "w0", None), ("q5", "w0", "c"), ("q6", "w0", None), ("q9", "w0", "d")], "dataset string, watermark string, holder string")
+    return rows, submissions.settled(state, state.where("dataset <> 'q9'"), rows, F.lit("w1"))
 
 
-@query("SELECT batch_no, count(*) AS entries FROM (SELECT batch_no FROM posting_batches UNION ALL SELECT batch_no FROM posting_batches WHERE description_text IS NULL) GROUP BY 1")
-def t14_audit_append(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "audit")
-    p = table(spark, d, "posting_batches")
-    p.select("batch_no").write.parquet(path)
-    p.where("description_text is null").select("batch_no").write.mode("append").parquet(path)
-    return spark.read.schema("batch_no int").parquet(path).groupBy("batch_no").agg(F.count("*").alias("entries"))
+@query(f"WITH {_RAW} SELECT dataset, fetched, accepted, fetched - accepted AS rejected FROM n")
+def t13_parse_submission(spark: SparkSession, d: str) -> DataFrame:
+    rows = _submitted(spark, d)[0]
+    return rows.groupBy("dataset").agg(F.count("*").alias("fetched"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
-@query(f"WITH {LOG} SELECT user_id, coalesce(arg_max(value, (ts, event_id)) FILTER (WHERE ev = 'open'), arg_max(value, (ts, event_id))) AS quota, max(ts) AS checked_in FROM log GROUP BY 1")
-def t16_check_in(spark: SparkSession, d: str) -> DataFrame:
-    at = F.struct("ts", "event_id")
-    last_open = F.max(F.when(F.col("ev") == "open", F.struct("ts", "event_id", "value"))).getField("value")
-    return log(spark, d).groupBy("user_id").agg(F.coalesce(last_open, F.max_by("value", at)).alias("quota"), F.max("ts").alias("checked_in"))
+@query(f"WITH {_RAW} SELECT dataset, CASE WHEN fetched > 0 THEN 'w1' ELSE watermark END AS watermark, CASE WHEN dataset = 'q9' THEN holder END AS holder FROM state LEFT JOIN n USING (dataset)")
+def t11_success_releases(spark: SparkSession, d: str) -> DataFrame:
+    return _submitted(spark, d)[1].select("dataset", "watermark", "holder")
 
 
-@query("SELECT count(DISTINCT batch_no) AS batches, count(*) AS rows FROM posting_batches")
-def t18_drain(spark: SparkSession, d: str) -> DataFrame:
-    sizes = [r[1] for r in table(spark, d, "posting_batches").groupBy("batch_no").count().orderBy("batch_no").collect()]
-    return table(spark, d, "posting_batches").agg(F.lit(voting.drained(sizes, 1_000)).cast("bigint").alias("batches"), F.count("*").alias("rows"))
+@query(f"WITH {_RAW} SELECT dataset, coalesce(fetched, 0) AS fetched, coalesce(fetched, 0) > 0 AS advanced, CASE WHEN fetched IS NULL AND dataset <> 'q9' THEN 'empty submission' END AS reason FROM state LEFT JOIN n USING (dataset)")
+def t12_submission(spark: SparkSession, d: str) -> DataFrame:
+    return _submitted(spark, d)[1].select("dataset", "fetched", "advanced", "reason")
 
 
-@query("SELECT ref_id, array_to_string(list_sort(list_distinct(string_split(coalesce(alt_names, ref_value), '|'))), '|') AS names FROM canonical_values")
-def f59_as_set(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("alt_names").isNotNull(), F.to_json(F.split("alt_names", r"\|"))).otherwise(F.col("ref_value"))
-    return table(spark, d, "canonical_values").select("ref_id", F.array_join(voting.as_set(text), "|").alias("names"))
+@query(f"WITH {_RAW} SELECT dataset, 2 AS entries, 2 * coalesce(accepted, 0) AS accepted FROM state LEFT JOIN n USING (dataset) WHERE dataset <> 'q9'")
+def t14_audit_append(spark: SparkSession, d: str) -> DataFrame:
+    """The audit log after the same submissions were settled twice: entries are added, never replaced."""
+    path = scratch(spark, "audit")
+    entries = _submitted(spark, d)[1].where("dataset <> 'q9'").select("dataset", "fetched", "accepted", "rejected", "reason")
+    submissions.append_audit(path, entries)
+    audit = submissions.append_audit(path, entries)
+    return audit.groupBy("dataset").agg(F.count("*").cast("int").alias("entries"), F.sum("accepted").alias("accepted"))
 
 
-@query("SELECT source, sha256('{\"max_repeats\":' || max_repeats || ',\"source\":\"' || source || '\"}') AS sha FROM mix_targets")
-def f64_persona_digest(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "mix_targets").select("source", F.sha2(F.to_json(F.struct("max_repeats", "source")), 256).alias("sha"))
+@query("SELECT batch_no, count(*) AS rows FROM posting_batches GROUP BY 1")
+def t18_drain(spark: SparkSession, d: str) -> DataFrame:
+    """A backlog drained in rounds of two batches until nothing is left: every row is worked off once."""
+    backlog = scratch(spark, "backlog")
+    table(spark, d, "posting_batches").select("posting_no", "batch_no").repartition("batch_no").write.partitionBy("batch_no").parquet(backlog)
+    s = spark.readStream.schema("posting_no bigint, batch_no int").option("maxFilesPerTrigger", 2).parquet(backlog)
+    return engagement.run_available(s, "drained").groupBy("batch_no").agg(F.count("*").alias("rows"))
 
 
-@query(f"WITH {FACTS} SELECT platform, count(*) AS new FROM facts GROUP BY 1")
+@query(f"WITH {_SNAPS} SELECT v.snapshot_no, count(*) FILTER (WHERE verdict = 'new') AS new, count(*) FILTER (WHERE verdict = 'updated') AS updated, count(*) FILTER (WHERE verdict = 'unchanged') AS unchanged FROM v GROUP BY 1")
 def k1_upsert_counters(spark: SparkSession, d: str) -> DataFrame:
-    return facts(spark, d, "platform").groupBy("platform").agg(F.count("*").alias("new"))
+    """Counters of the upsert of every snapshot into the one before it, all in one plan, as read back from their summary lines."""
+    s = table(spark, d, "job_snapshots").groupBy("snapshot_no", "id").agg(F.max_by(F.struct("content_hash", "status"), "loaded_at").alias("x")).select("snapshot_no", "id", F.lower(F.trim("x.content_hash")).alias("h"), F.lower(F.trim("x.status")).alias("status"))
+    nos = s.select("snapshot_no").distinct().withColumn("next", F.lead("snapshot_no").over(Window.orderBy("snapshot_no"))).where("next is not null")
+    stored = s.join(F.broadcast(nos), "snapshot_no").select(F.struct(F.col("next").alias("snapshot_no"), "id").alias("key"), "h", "status")
+    batch = s.join(F.broadcast(nos.select(F.col("next").alias("snapshot_no"))), "snapshot_no").select(F.struct("snapshot_no", "id").alias("key"), "h")
+    v = merge.merge_verdicts(stored, batch, "key", "h", F.col("status") == "open").groupBy("key.snapshot_no").agg(*[F.count_if(F.col("verdict") == c).alias(c) for c in ("new", "updated", "unchanged")])
+    line = writers.summary_line("jobs", F.col("new"), F.col("updated"), F.col("unchanged"), F.lit(0))
+    counts = writers.parse_summary(line)
+    return v.select("snapshot_no", *[F.element_at(counts, c).alias(c) for c in ("new", "updated", "unchanged")])

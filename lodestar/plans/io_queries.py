@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from lodestar.catalog import table
 from lodestar.plans.common import LOG, POSTINGS, SCORED, facts, log, postings
 from lodestar.plans.lifecycle import _KEPT, _RENDER, ranked_log
 from lodestar.plans.windows_stats import scored
-from lodestar.session import scratch
+from lodestar.session import bounded_rows, scratch, write_text
 from lodestar.sinks import writers
 from lodestar.sources import feeds, records
 from lodestar.streaming import engagement
@@ -34,19 +37,99 @@ def s1_pruned_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").where("platform = 'ashby'").select("id", "platform", "title").dropDuplicates(["id"])
 
 
-@query("SELECT count(*) AS collected, count(DISTINCT ref_id) AS distinct_rows, count(*) AS total, false AS truncated, false AS short FROM canonical_values")
+@query("SELECT count(*) AS collected, count(DISTINCT ref_id) AS distinct_rows, count(*) AS total, count(*) >= 250 AS truncated, false AS short FROM canonical_values")
 def s4_offset_paging(spark: SparkSession, d: str) -> DataFrame:
-    import json
-    import os
-    import tempfile
-
-    rows = [r.asDict() for r in table(spark, d, "canonical_values").orderBy("ref_id").collect()]
-    folder = tempfile.mkdtemp(prefix="pages-") if spark.sparkContext.master.startswith("local[") else scratch(spark, "pages").removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
-    for at in range(0, len(rows), 25):
-        with open(f"{folder}/page-{at:05d}.json", "w") as f:
-            json.dump({"offset": at, "total": len(rows), "rows": rows[at : at + 25]}, f)
-    return feeds.crawl_report(feeds.read_pages(spark, folder), "ref_id", 25, 250)
+    path = scratch(spark, "pages")
+    c = table(spark, d, "canonical_values").select("ref_id", "ref_value", F.floor(F.row_number().over(Window.orderBy("ref_id")) / 25.0001).alias("page"), F.count("*").over(Window.partitionBy()).alias("total"))
+    page = c.groupBy("page", "total").agg(F.sort_array(F.collect_list(F.struct("ref_id", "ref_value"))).alias("rows")).select("page", F.to_json(F.struct((F.col("page") * 25).alias("offset"), "total", "rows")).alias("value"))
+    for p in bounded_rows(page, 100, "pages of a fixed table"):
+        write_text(spark, f"{path}/page-{p['page']:05d}.json", p["value"])
+    return feeds.crawl_report(feeds.read_pages(spark, path), "ref_id", 25, 250)
+
+
+def _pages(spark: SparkSession, d: str, page_size: int) -> DataFrame:
+    """(board, page, rows, total) of the postings of each platform in order of their id."""
+    w = Window.partitionBy("platform").orderBy("id")
+    p = postings(spark, d, "platform").select(F.col("platform").alias("board"), "id", (F.row_number().over(w) - 1).alias("n"))
+    total = p.groupBy("board").agg(F.count("*").alias("total"))
+    return p.groupBy("board", F.floor(F.col("n") / page_size).cast("int").alias("page")).agg(F.sort_array(F.collect_list("id")).alias("rows")).join(total, "board")
+
+
+@query(f"WITH {POSTINGS}, n AS (SELECT platform AS board, count(*) AS n FROM postings GROUP BY 1) SELECT board, least(n, 50) AS got, n >= 50 AS truncated FROM n")
+def s3_page_cap(spark: SparkSession, d: str) -> DataFrame:
+    """A board read in pages of 5, at most 10 of them; truncated where the last page taken was full."""
+    taken = feeds.crawl(_pages(spark, d, 5), "board", 5, 10)
+    return taken.groupBy("board").agg(F.sum(F.size("rows")).alias("got"), (F.sum(F.size("rows")) >= 50).alias("truncated"))
+
+
+@query(f"WITH {POSTINGS}, n AS (SELECT platform AS board, count(*) AS n FROM postings GROUP BY 1) SELECT board, n AS collected, n // 40 + 1 AS pages, true AS complete FROM n WHERE n % 40 <> 0 AND n < 40 * 250")
+def s8_stable_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl in a stable order that ends on the page that is not full; boards cut by the page cap or ending on a full page are left out."""
+    taken = feeds.crawl(_pages(spark, d, 40), "board", 40, 250)
+    r = taken.groupBy("board").agg(F.sum(F.size("rows")).alias("collected"), F.count("*").alias("pages"), F.bool_or("last").alias("complete"))
+    return r.where("complete")
+
+
+@query(f"""WITH {POSTINGS}, x AS (SELECT platform AS board, id, (row_number() OVER (PARTITION BY platform ORDER BY id) - 1) // 10 AS page, count(*) OVER (PARTITION BY platform) AS total FROM postings),
+g AS (SELECT board, total, count(*) FILTER (WHERE NOT (page = 1 AND length(board) % 2 = 1)) AS collected FROM x GROUP BY 1, 2) SELECT board, collected, total, total - collected >= 10 AS short FROM g""")
+def s6_shortfall(spark: SparkSession, d: str) -> DataFrame:
+    """Boards of which a page never came (the second of those with a name of odd length) are short; rows delivered twice count once."""
+    rows = _pages(spark, d, 10).where("not (page = 1 and length(board) % 2 = 1)").select("board", "total", F.explode("rows").alias("id"))
+    return feeds.shortfalls(rows.unionByName(rows), "board", "id", "total", 10)
+
+
+@query("""WITH f AS (SELECT DISTINCT platform AS board, source_id AS code, arg_min(id, id) OVER (PARTITION BY platform, source_id) AS id FROM jobs WHERE source_id IS NOT NULL),
+c AS (SELECT ats AS board, sum(open_jobs)::BIGINT AS reported FROM companies WHERE ats IS NOT NULL GROUP BY 1) SELECT f.board, f.code, f.id, c.reported FROM f LEFT JOIN c USING (board)""")
+def s5_first_of_code(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "companies").where("ats is not null").groupBy(F.col("ats").alias("board")).agg(F.sum("open_jobs").alias("reported"))
+    return feeds.first_of_code(table(spark, d, "jobs").select(F.col("platform").alias("board"), F.col("source_id").alias("code"), "id"), "board", "code", "id", counts)
+
+
+@query("""WITH x AS (SELECT platform AS board, unnest(['department', 'location', 'level']) AS facet, unnest([department, location_raw, seniority_guess]) AS value FROM jobs),
+n AS (SELECT board, facet, value, count(*) AS n FROM x WHERE value IS NOT NULL GROUP BY 1, 2, 3), t AS (SELECT platform AS board, count(*) AS total FROM jobs GROUP BY 1),
+g AS (SELECT board, facet, count(*) AS slices, max(n) AS most, sum(n) AS a FROM n GROUP BY 1, 2), ok AS (SELECT board, facet, slices FROM g JOIN t USING (board) WHERE most < 0.7 * 1000 AND a >= total)
+SELECT board, arg_min(facet, (slices, facet)) AS facet, min(slices) AS slices FROM ok GROUP BY 1""")
+def s7_facet_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The facet by which each board is best cut into slices under the cap of 700."""
+    j = table(spark, d, "jobs").withColumnRenamed("platform", "board")
+    x = j.select("board", F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(c).alias("value")) for f, c in (("department", "department"), ("location", "location_raw"), ("level", "seniority_guess"))])).alias("x")).select("board", "x.*").where("value is not null")
+    return feeds.facet_slices(x.groupBy("board", "facet", "value").agg(F.count("*").alias("n")), j.groupBy("board").agg(F.count("*").alias("total")), "board", 700)
+
+
+@query("""WITH n AS (SELECT snapshot_no, platform, count(DISTINCT id) AS n FROM job_snapshots GROUP BY 1, 2), s AS (SELECT snapshot_no, platform, n AS before, lead(n) OVER w AS collected, lead(n, 2) OVER w AS after FROM n WINDOW w AS (PARTITION BY platform ORDER BY snapshot_no))
+SELECT snapshot_no, platform, collected BETWEEN least(before, after) - greatest(5, floor(greatest(before, after) * 2 / 100)) AND greatest(before, after) + greatest(5, floor(greatest(before, after) * 2 / 100)) AS reconciled FROM s WHERE after IS NOT NULL""")
+def s9_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """A delivery's rows per platform against those of the deliveries before and after it."""
+    n = table(spark, d, "job_snapshots").groupBy("snapshot_no", "platform").agg(F.countDistinct("id").alias("before"))
+    w = Window.partitionBy("platform").orderBy("snapshot_no")
+    x = n.select("*", F.lead("before").over(w).alias("collected"), F.lead("before", 2).over(w).alias("after")).where("after is not null")
+    return x.select("snapshot_no", "platform", feeds.reconciled(F.col("collected"), F.col("before"), F.col("after")).alias("reconciled"))
+
+
+@query("SELECT platform, CASE WHEN length(platform) % 6 <= 3 THEN 'page' END AS body, CASE WHEN length(platform) % 6 = 0 THEN 0 WHEN length(platform) % 6 = 1 THEN 1 WHEN length(platform) % 6 = 2 THEN 3 ELSE 7 END::BIGINT AS waited FROM platforms")
+def s22_retries(spark: SparkSession, d: str) -> DataFrame:
+    """A page per platform fetched with retries: the first attempts fail, a few more than are tried for some."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for name in b["platform"]:
+                left, waits = [len(name) % 6], []
+
+                def fetch(left=left):
+                    if left[0]:
+                        left[0] -= 1
+                        raise OSError("not yet")
+                    return "page"
+
+                try:
+                    body = feeds.with_retries(fetch, 3, waits.append)
+                except OSError:
+                    body = None
+                out.append((name, body, sum(waits)))
+            yield pd.DataFrame(out, columns=["platform", "body", "waited"])
+
+    return table(spark, d, "platforms").select("platform").mapInPandas(run, "platform string, body string, waited bigint")
 
 
 @query("SELECT CAST(ref_id AS VARCHAR) AS guid, ref_field || ': ' || ref_value AS title FROM canonical_values")
@@ -123,9 +206,18 @@ def s18_response_cache(spark: SparkSession, d: str) -> DataFrame:
     return feeds.cached_response(c, cache, F.expr("timestamp'2026-01-02 12:00:00'")).select("ref_id", F.col("body").isNotNull().alias("hit"))
 
 
-@query("SELECT unnest(range(0, 5)) AS position, unnest(['a','b','c','d','e']) AS value")
+@query("SELECT ref_id, generate_subscripts(string_split(alt_names, '|'), 1) - 1 AS position, unnest(string_split(alt_names, '|')) AS value FROM canonical_values WHERE alt_names IS NOT NULL")
 def s20_array_relation(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "region").limit(1).select(F.posexplode(F.array(*[F.lit(x) for x in "abcde"])).alias("position", "value")).select(F.col("position").cast("bigint").alias("position"), "value")
+    """Arrays as a relation that keeps their order."""
+    return table(spark, d, "canonical_values").select("ref_id", F.posexplode(F.split("alt_names", r"\|")).alias("position", "value")).select("ref_id", F.col("position").cast("bigint").alias("position"), "value")
+
+
+@query("SELECT ref_id, '{\"field\": \"' || ref_field || '\", \"inner\": [{\"keep\": ' || ref_id || '}]}' AS config FROM canonical_values")
+def f63_without_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations without their comment keys."""
+    strip = F.pandas_udf(lambda s: s.map(lambda t: json.dumps(feeds.without_comments(json.loads(t)))), "string")
+    raw = F.to_json(F.struct(F.lit("why").alias("_note"), F.col("ref_field").alias("field"), F.array(F.struct(F.lit(1).alias("_x"), F.col("ref_id").alias("keep"))).alias("inner")))
+    return table(spark, d, "canonical_values").select("ref_id", strip(raw).alias("config"))
 
 
 @query("SELECT lower(ats) AS ats, lower(company_token) AS token, min(company_token) AS first_token FROM companies WHERE company_token IS NOT NULL AND status = 'active' GROUP BY 1, 2")

@@ -1,4 +1,4 @@
-"""Feed and page readers: paged JSON as a data source, RSS, sitemaps, listings, JSON-LD, comment threads, JSON lines."""
+"""Feed and page readers: saved pages and crawls over them, RSS, sitemaps, listings, JSON-LD, comment threads, JSON lines."""
 
 from __future__ import annotations
 
@@ -7,17 +7,28 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import scalar as S
-from lodestar.sources.paged import PagedJson
 
 
 def read_pages(spark: SparkSession, folder: str, rows: str = "rows") -> DataFrame:
-    """(position, total, row) of all pages in a folder."""
-    spark.dataSource.register(PagedJson)
-    return spark.read.format("paged_json").option("path", folder).option("rows", rows).load()
+    """(position, total, row) of saved pages ``{"offset", "total", rows: [...]}`` below a folder, one file a page, on any file system."""
+    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
+    page = docs.select(F.get_json_object("value", "$.offset").cast("bigint").alias("offset"), F.get_json_object("value", "$.total").cast("bigint").alias("total"), F.from_json(F.get_json_object("value", f"$.{rows}"), "array<string>").alias("x"))
+    return page.select("offset", F.coalesce("total", F.lit(-1)).alias("total"), F.posexplode("x").alias("i", "row")).select((F.coalesce("offset", F.lit(0)) + F.col("i")).alias("position"), "total", "row")
+
+
+def crawl(pages: DataFrame, board: str, page_size: int, max_pages: int) -> DataFrame:
+    """The pages a crawl takes of (board, page, rows): from the first on, until a page is missing or not full, at most ``max_pages``.
+
+    With ``last``: whether the crawl ended on a page that was not full, so that nothing was left behind.
+    """
+    n = F.size("rows")
+    w = Window.partitionBy(board).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    whole = (F.coalesce(F.sum((n >= page_size).cast("int")).over(w), F.lit(0)) == F.col("page")) & (F.col("page") < max_pages)
+    return pages.withColumn("__on", whole).where("__on").drop("__on").withColumn("last", n < page_size)
 
 
 def crawl_report(pages: DataFrame, key: str, page_size: int, max_rows: int) -> DataFrame:
@@ -27,17 +38,30 @@ def crawl_report(pages: DataFrame, key: str, page_size: int, max_rows: int) -> D
     return r.select("*", (F.col("collected") >= max_rows).alias("truncated"), ((F.col("total") > 0) & (F.col("total") - F.col("distinct_rows") >= page_size)).alias("short"))
 
 
-def facet_slices(facets: dict[str, dict[str, int]], total: int, cap: int) -> tuple[str, list[str]] | None:
-    """The facet with fewest slices that each stay under the cap and together reach the total."""
-    fits = [(len(v), k) for k, v in facets.items() if v and max(v.values()) < cap and sum(v.values()) >= total]
-    return (min(fits)[1], sorted(facets[min(fits)[1]])) if fits else None
+def shortfalls(rows: DataFrame, board: str, key: str, total: str, page_size: int) -> DataFrame:
+    """(board, collected, total, short) of rows crawled from several boards, each row once by ``key``; :func:`complete_or_raise` refuses short ones."""
+    r = rows.groupBy(board).agg(F.countDistinct(key).alias("collected"), F.max(total).alias("total"))
+    return r.withColumn("short", F.col("total") - F.col("collected") >= page_size)
+
+
+def first_of_code(rows: DataFrame, board: str, code: str, order: str, counts: DataFrame) -> DataFrame:
+    """Rows of a source asked in two calls: of equal codes on a board the first one in ``order``, with the number the count call gave (null without one)."""
+    first = rows.where(F.col(code).isNotNull()).groupBy(board, code).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in (board, code)]), order).alias("x"))
+    return first.select(board, code, "x.*").join(counts.groupBy(board).agg(F.max("reported").alias("reported")), board, "left")
+
+
+def facet_slices(facets: DataFrame, totals: DataFrame, board: str, cap: int) -> DataFrame:
+    """(board, facet, slices): of (board, facet, value, n) the facet with fewest slices that each stay under the cap and together reach the board's total."""
+    f = facets.groupBy(board, "facet").agg(F.count("*").alias("slices"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    fits = f.join(totals, board).where((F.col("most") < cap) & (F.col("all") >= F.col("total")))
+    return fits.groupBy(board).agg(F.min(F.struct("slices", "facet")).alias("x")).select(board, "x.facet", "x.slices")
 
 
-def reconciled(collected: int, before: int, after: int) -> bool:
+def reconciled(collected: Column, before: Column, after: Column) -> Column:
     """Whether a crawl's count lies between the counts before and after it, within 2 % or 5 rows."""
-    low, high = min(before, after), max(before, after)
-    slack = max(5, high * 2 // 100)
-    return low - slack <= collected <= high + slack
+    low, high = F.least(before, after), F.greatest(before, after)
+    slack = F.greatest(F.lit(5), F.floor(high * 2 / 100))
+    return collected.between(low - slack, high + slack)
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:

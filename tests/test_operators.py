@@ -131,9 +131,14 @@ def test_scalars(spark):
 
 
 def test_sources(spark):
-    assert feeds.facet_slices({"a": {"x": 60, "y": 60}, "b": {"x": 30, "y": 30, "z": 60}}, 120, 61) == ("a", ["x", "y"])
-    assert feeds.facet_slices({"a": {"x": 100}}, 100, 50) is None
-    assert feeds.reconciled(100, 98, 104) and not feeds.reconciled(80, 98, 104)
+    facets = spark.createDataFrame([("s", "a", "x", 60), ("s", "a", "y", 60), ("s", "b", "x", 30), ("s", "b", "y", 30), ("s", "b", "z", 60), ("t", "a", "x", 100)], "board string, facet string, value string, n int")
+    totals = spark.createDataFrame([("s", 120), ("t", 100)], "board string, total int")
+    assert [tuple(r) for r in feeds.facet_slices(facets, totals, "board", 61).collect()] == [("s", "a", 2)]
+    counts = spark.createDataFrame([(100, 98, 104), (80, 98, 104), (None, 1, 2)], "c int, b int, a int")
+    assert [r[0] for r in counts.select(feeds.reconciled(F.col("c"), F.col("b"), F.col("a"))).collect()] == [True, False, None]
+    pages = spark.createDataFrame([("full", 0, [1, 2]), ("full", 1, [3, 4]), ("full", 2, [5, 6]), ("hole", 0, [1, 2]), ("hole", 2, [5]), ("short", 0, [1]), ("short", 1, [2, 3]), ("none", 0, [])], "board string, page int, rows array<int>")
+    got = sorted((r.board, r.page, r.last) for r in feeds.crawl(pages, "board", 2, 2).collect())
+    assert got == [("full", 0, False), ("full", 1, False), ("hole", 0, False), ("none", 0, True), ("short", 0, True)]
     page = spark.createDataFrame([(1, '<i data-id="title">lost</i><div data-id="card"><b data-id="company">C</b><i data-id="title">T</i></div>'), (2, None)], "k int, h string")
     assert [tuple(r) for r in feeds.listing_cards(page, "h", "k").collect()] == [(1, "C", "T", 1)]
     ld = spark.createDataFrame([(1, '<script type="application/ld+json">{bad</script><script type="application/ld+json">{"@graph":[[{"@type":["JobPosting"],"title":"T"}]]}</script>')], "k int, h string")
