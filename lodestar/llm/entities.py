@@ -1,18 +1,21 @@
 """Variant spellings of organisation names: weighted character n-grams, similarity join, average linkage.
 
 Names and tokens are taken apart into founder, family, trade and legal form. The family spellings are
-vectors of character n-grams weighted by inverse document frequency; all pairs with a cosine of at least
-``COSINE`` are found by a distributed join on the rarest grams of each vector (prefix and position filters are
-exact, no pair above the threshold is lost and no gram list is cut), checked by edit distance, and
+vectors of character n-grams weighted by inverse document frequency; all pairs with both a cosine of at least
+``COSINE`` and an edit similarity of at least ``EDITS`` are found by a distributed join on the rarest grams of each vector.
+Prefix and position filters are exact and no gram list or number of partners is cut; of the two conditions the cheaper
+one is asked first. Lists of frequent grams are split into blocks of ``HOT`` forms, each joined on its own. Pairs are
 grouped by average linkage. Spellings that stand in one row are one node beforehand. Within a family,
 trade and founder tell employers apart, and where a name leaves them open its token decides.
 
-Defined results: rows whose name is null or initials only are placed by their token; rows that name and
+Defined results: rows whose name is null or initials only are placed by their token; rows without any spelling long
+enough for a vector are placed by their token alone, then by their whole name unless that is initials; rows that name and
 token leave open between several employers stand alone; equal rows with different ids are linked.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,14 +23,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.graphs import average_linkage, components
-from lodestar.llm.names import parse_name, parse_token
+from lodestar.llm.names import fold, parse_name, parse_token
 from lodestar.session import materialize
 
 #: Gram lengths, least cosine of a pair, least average similarity of two clusters, least edit similarity. Two typos in one
 #: spelling leave a cosine down to 0.2, since the grams they make are rare and weigh most; the edit check decides.
 SIZES, COSINE, LINKAGE, EDITS = (3, 4), 0.2, 0.2, 0.75
+#: Forms of one block of a gram's list: a gram of more forms is joined block by block, so that no task gets it whole.
+HOT = 2_000
 
-_PARTS = "id bigint, name_form string, token_form string, founder string, initial string, trade string, legal string, token string"
+_PARTS = "id bigint, name_form string, token_form string, founder string, initial string, trade string, legal string, token string, whole string"
 
 
 def name_parts(rows: DataFrame, key: str, name: str, token: str) -> DataFrame:
@@ -39,7 +44,7 @@ def name_parts(rows: DataFrame, key: str, name: str, token: str) -> DataFrame:
             for i, n, t in zip(b["id"], b["n"], b["t"]):
                 x, y = parse_name(n), parse_token(t)
                 family = " ".join(sorted(x.family)) or None
-                out.append((i, family if family and len(family) > 3 else None, y.family if y and len(y.family) > 5 else None, x.founder or (y.founder if y else None), x.founder_initial, x.trade or (y.trade if y else None), x.legal, y.squashed if y else None))
+                out.append((i, family if family and len(family) > 3 else None, y.family if y and len(y.family) > 5 else None, x.founder or (y.founder if y else None), x.founder_initial, x.trade or (y.trade if y else None), x.legal, y.squashed if y else None, None if x.initials or not n else re.sub(r"[\W_]+", "", fold(n)) or None))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.split(", ")])
 
     return rows.select(F.col(key).cast("bigint").alias("id"), F.col(name).cast("string").alias("n"), F.col(token).cast("string").alias("t")).where("id is not null").mapInPandas(run, _PARTS)
@@ -63,12 +68,12 @@ def similar_forms(forms: DataFrame, cosine: float = COSINE, edits: float = EDITS
     used = F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     spelled = forms.select("form", F.replace("form", F.lit(" "), F.lit("")).alias("flat"), F.array_join(F.reverse(F.split("form", " ")), "").alias("turned"))
     spelled = spelled.withColumn("bits", bigram_bits("flat"))
-    prefix = vectors.withColumn("left", F.sqrt(F.greatest(1 - used, F.lit(0.0)))).where(F.col("left") >= cosine - 1e-9).select("form", "gram", "left").join(spelled, "form")
-    a = prefix.select(F.col("form").alias("u"), "gram", F.col("left").alias("lu"), F.col("flat").alias("fu"), F.col("turned").alias("tu"), F.col("bits").alias("mu"))
-    b = prefix.select(F.col("form").alias("v"), "gram", F.col("left").alias("lv"), F.col("flat").alias("fv"), F.col("turned").alias("tv"), F.col("bits").alias("mv"))
+    prefix = vectors.withColumn("left", F.sqrt(F.greatest(1 - used, F.lit(0.0)))).where(F.col("left") >= cosine - 1e-9).select("form", "gram", "left", F.ceil(F.col("df") / HOT).cast("int").alias("blocks")).join(spelled, "form")
+    a = prefix.select(F.col("form").alias("u"), "gram", F.pmod(F.xxhash64("form"), "blocks").cast("int").alias("block"), F.col("left").alias("lu"), F.col("flat").alias("fu"), F.col("turned").alias("tu"), F.col("bits").alias("mu"))
+    b = prefix.select(F.col("form").alias("v"), "gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("left").alias("lv"), F.col("flat").alias("fv"), F.col("turned").alias("tv"), F.col("bits").alias("mv"))
     # the first gram two vectors share bounds their cosine by what is left of each from there on
     bound = (F.col("lu") * F.col("lv") >= cosine - 1e-9) & (F.col("u") < F.col("v"))
-    pairs = a.join(b, "gram").where(bound & close_spelling(edits)).select("u", "v").distinct()
+    pairs = a.join(b, ["gram", "block"]).where(bound & close_spelling(edits)).select("u", "v").distinct()
     packed = vectors.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("vec"))
     x = pairs.join(packed.select(F.col("form").alias("u"), F.col("vec").alias("vu")), "u").join(packed.select(F.col("form").alias("v"), F.col("vec").alias("vv")), "v")
     dot = F.aggregate(F.map_entries("vu"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("vv", e["key"]), F.lit(0.0)))
@@ -144,7 +149,19 @@ def link_names(rows: DataFrame, key: str = "company_id", name: str = "company_na
     founder = F.when(F.col("founders") == 0, F.lit("-")).otherwise(F.coalesce("only_founder", "founder", "by_initial", "by_token"))
     known_entity = F.concat_ws("|", "family", "trade", founder)
     open_ = F.col("family").isNull() | F.col("trade").isNull() | founder.isNull()
-    return x.select("id", F.when(open_, F.concat(F.lit("row|"), F.col("id"))).otherwise(known_entity).alias("entity"))
+    x = materialize(x.select("id", "family", "token", "whole", F.when(~open_, known_entity).alias("known")), "known")
+    # rows too short for a vector go with the rows of their token, if these are one employer, else together by token or name
+    bare = x.where("family is null").join(_only(x, ["token"], "known", "by_token"), "token", "left")
+    entity = F.coalesce("by_token", F.concat(F.lit("token|"), "token"), F.concat(F.lit("name|"), "whole"), F.concat(F.lit("row|"), "id"))
+    placed = x.where("family is not null").select("id", F.coalesce("known", F.concat(F.lit("row|"), "id")).alias("entity"))
+    return placed.unionByName(bare.select("id", entity.alias("entity")))
+
+
+def members(links: DataFrame) -> DataFrame:
+    """(company_id, first_id, rows): every row with the least id of its employer's rows and their number; nothing is expanded into pairs."""
+    links = materialize(links.distinct(), "links")
+    size = links.groupBy("entity").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"))
+    return links.join(size, "entity").select(F.col("id").alias("company_id"), "first_id", "rows")
 
 
 def linked_pairs(links: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def parse_name(raw: str | None) -> Name:
             trade = TRADE_OF[w]
         else:
             rest.append(w)
-    if rest and all(len(w) == 1 for w in rest) or len(rest) == 1 and len(rest[0]) <= 3 and rest[0].isalpha():
+    if rest and all(len(w) == 1 for w in rest) or len(rest) == 1 and len(rest[0]) <= 3 and rest[0].isalpha() and rest[0].isascii():
         return Name(None, None, (), trade, legal, "".join(rest))
     founder = initial = None
     if len(rest) > 2 and (lone := [w for w in rest if len(w) == 1]):

@@ -14,6 +14,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return entities.linked_pairs(entities.link_names(table(spark, folder, "companies")))
 
 
+def p1_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row with its employer, without pairs."""
+    return entities.members(entities.link_names(table(spark, folder, "companies")))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.repeated_postings(table(spark, folder, "posting_batches"))
 
@@ -69,4 +74,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_unmatched, p6_found, p6_reliability, p6_agreement, p7_found, p8_packed, p8_fill, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p3_found, p3_unmatched, p6_found, p6_reliability, p6_agreement, p7_found, p8_packed, p8_fill, p9_mix, p9_shares, p10_found)}

@@ -67,7 +67,17 @@ def test_repeats_empty_and_clashing_columns(spark):
     assert entities.linked_pairs(entities.link_names(df.limit(0))).count() == 0
 
 
-def test_similarity_join_equals_brute_force(spark):
+def test_names_too_short_for_a_vector(spark):
+    rows = [(1, "IBM", "ibm"), (2, "ibm", "IBM"), (3, "東京", None), (4, "東京", None), (5, "TQL", None), (6, "TQL", None), (7, None, "abc"), (8, None, None), (9, "!!!", None), (10, "大阪", None), (11, "Ox", "gefasenerprarlil"), (12, "Gefase Nerprarlil Technologies", "gefasenerprarlil")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    links = entities.link_names(df)
+    assert sorted(tuple(r) for r in entities.linked_pairs(links).collect()) == [(1, 2), (3, 4), (11, 12)]
+    assert sorted(tuple(r) for r in entities.members(links).collect())[:4] == [(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 3, 2)]
+
+
+@pytest.mark.parametrize("hot", [2_000, 3])
+def test_similarity_join_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(entities, "HOT", hot)
     rng = random.Random(5)
     words = ["".join(rng.choice("ron gul chel mos pras quin".split()) for _ in range(3)) for _ in range(40)]
     words += [w[:3] + w[4:] for w in words[:20]] + [w[:5] + "x" + w[5:] for w in words[10:30]]
