@@ -385,17 +385,20 @@ def k6_text_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_KEPT}, g AS (SELECT user_id, job_id, list_reduce(list_prepend([]::BIGINT[], list_transform(a, lambda x: [x])), lambda k, x: CASE WHEN len(k) = 0 OR k[-1] < x[1] - 86400 THEN list_concat(k, x) ELSE k END) AS kept FROM seen) SELECT user_id, job_id, unnest(kept) AS kept FROM g")
 def t2_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    s = engagement.event_stream(spark, f"{d}/events.parquet*").where("event_type = 'view'")
+    s = engagement.arrivals(spark, log(spark, d).where("ev = 'impression'").select("user_id", "job_id", "ts"))
     return engagement.run_available(engagement.rolling_dedupe(s), "dedupe")
 
 
+@query(f"WITH {LOG} SELECT date_trunc('hour', ts) AS start, ev AS event_type, count(*) AS n FROM log GROUP BY 1, 2")
+def t22_stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    s = engagement.arrivals(spark, log(spark, d).select("ts", F.col("ev").alias("event_type")))
+    return engagement.run_available(engagement.windowed_counts(s), "windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query(f"WITH {_RENDER}, o AS (SELECT user_id, day, max(rank) AS lowest FROM k WHERE ev = 'open' GROUP BY 1, 2) SELECT k.event_id FROM k JOIN o USING (user_id, day) WHERE k.ev = 'impression' AND k.rank < lowest AND NOT EXISTS (SELECT 1 FROM k x WHERE x.user_id = k.user_id AND x.day = k.day AND x.job_id = k.job_id AND x.ev <> 'impression')")
 def t3_stream_skips(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "renders")
-    ranked = ranked_log(spark, d)
-    ranked.write.parquet(path)
-    s = spark.readStream.schema(ranked.schema).parquet(path)
-    return engagement.skips_per_batch(s, ["user_id", "day"])
+    s = engagement.arrivals(spark, ranked_log(spark, d).select("user_id", "day", "ts", "job_id", "rank", "ev", "event_id"))
+    return engagement.run_available(engagement.render_skips(s, ["user_id", "day"], 86_400), "skips")
 
 
 @query(f"WITH {POSTINGS} SELECT p.id, coalesce(f.n, 0) AS facts FROM postings p LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT DISTINCT * FROM jobs_app) GROUP BY 1) f USING (id)")

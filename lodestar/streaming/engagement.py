@@ -1,7 +1,12 @@
-"""Structured Streaming forms of the event operators; each equals its batch form on the same input."""
+"""Structured Streaming forms of the event operators.
+
+Each result is emitted once the watermark has passed all it depends on, so it is the batch form's result however the
+events are spread over triggers, as long as none comes later than ``late`` behind the newest one. What the watermark has not passed yet stays in the state.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestar.operators import eventlog
 from lodestar.session import scratch
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -21,29 +25,67 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("job_id", F.get_json_object("props", "$.k").cast("bigint"))
 
 
-def rolling_dedupe(stream: DataFrame, window: int = 86_400) -> DataFrame:
-    """(user_id, job_id, kept): the rolling dedupe as a keyed stateful operator that holds the last kept instant.
+def arrivals(spark: SparkSession, df: DataFrame, parts: int = 3) -> DataFrame:
+    """``df`` (with ``ts``) as a stream that brings it in ``parts`` triggers in time order and ends with an empty event a month later, which moves the watermark past all others."""
+    path, t = scratch(spark, "arrivals"), F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(t, [i / parts for i in range(1, parts)]).alias("c"), F.max("ts").alias("end")).first()
+    edges = [None, *(cuts["c"] or []), None]
+    for lo, hi in zip(edges, edges[1:]):
+        df.where((F.lit(True) if lo is None else t >= lo) & (F.lit(True) if hi is None else t < hi)).coalesce(1).write.mode("append").parquet(path)
+    closing = [F.lit(cuts["end"]).cast("timestamp") + F.expr("interval 30 days")]
+    spark.range(1).select(*[(closing[0] if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def rolling_dedupe(stream: DataFrame, window: int = 86_400, late: str = "1 hour") -> DataFrame:
+    """(user_id, job_id, kept): the rolling dedupe as a keyed stateful operator.
 
-    Events of one trigger are taken in time order; a key's state is dropped by timeout once no event can fall into its window.
+    A key's state holds the last kept instant and those the watermark has not passed; it is dropped once no event can fall into the window of its last one.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        seconds = sorted(s for b in batches for s in b["s"])
-        kept = []
-        for s in seconds:
+        pending, last = json.loads(state.get[0]) if state.exists else ([], None)
+        if not state.hasTimedOut:
+            pending += [int(s) for b in batches for s in b["s"]]
+        passed, kept = state.getCurrentWatermarkMs() // 1000, []
+        for s in sorted(s for s in pending if s < passed):
             if last is None or last < s - window:
                 kept.append(s)
                 last = s
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int(last + window + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        pending = [s for s in pending if s >= passed]
+        if pending or last is not None and last + window >= passed:
+            state.update((json.dumps((pending, last)),))
+            state.setTimeoutTimestamp(max((min(pending) + 1 if pending else last + window + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
         yield pd.DataFrame({"user_id": [key[0]] * len(kept), "job_id": [key[1]] * len(kept), "kept": kept})
 
-    x = stream.withWatermark("ts", "1 hour").withColumn("s", F.unix_timestamp("ts"))
-    return x.groupBy("user_id", "job_id").applyInPandasWithState(step, "user_id bigint, job_id bigint, kept bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    x = stream.withWatermark("ts", late).withColumn("s", F.unix_timestamp("ts"))
+    return x.groupBy("user_id", "job_id").applyInPandasWithState(step, "user_id bigint, job_id bigint, kept bigint", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def render_skips(stream: DataFrame, render: list[str], over: int, late: str = "1 hour", item: str = "job_id", rank: str = "rank", event: str = "ev", event_id: str = "event_id") -> DataFrame:
+    """(event_id) of derived skips, keyed by render: a render's events are held until the watermark is ``over`` seconds past its latest one."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, latest = json.loads(state.get[0]) if state.exists else ([], 0)
+        if not state.hasTimedOut:
+            for b in batches:
+                b = b.dropna(subset=["i", "r", "e", "x"])
+                held += [(int(i), int(r), str(e), int(x)) for i, r, e, x in zip(b["i"], b["r"], b["e"], b["x"])]
+                latest = max([latest, *(int(s) for s in b["s"])])
+            state.update((json.dumps((held, latest)),))
+            state.setTimeoutTimestamp(max((latest + over) * 1000, state.getCurrentWatermarkMs() + 1))
+            return
+        opened = max((r for _, r, e, _ in held if e == "open"), default=None)
+        touched = {i for i, _, e, _ in held if e != "impression"}
+        state.remove()
+        yield pd.DataFrame({"event_id": [x for i, r, e, x in held if e == "impression" and opened is not None and r < opened and i not in touched]}, dtype="int64")
+
+    # a filter here would be pushed below the watermark, which must see every event's time
+    x = stream.withWatermark("ts", late)
+    x = x.select(*render, F.col(item).alias("i"), F.col(rank).alias("r"), F.col(event).alias("e"), F.col(event_id).alias("x"), F.unix_timestamp("ts").alias("s"), "ts")
+    return x.groupBy(*render).applyInPandasWithState(step, "event_id bigint", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
@@ -55,19 +97,6 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def skips_per_batch(stream: DataFrame, render: list[str], name: str = "skips") -> DataFrame:
-    """Derived skips of each micro-batch, written by batch number so a retried batch replaces its own output."""
-    spark = stream.sparkSession
-    out, marks = scratch(spark, name), scratch(spark, f"{name}-marks")
-
-    def write(batch: DataFrame, number: int) -> None:
-        eventlog.derived_skips(batch, render, "job_id", "rank", "ev").select("event_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema("event_id bigint").parquet(f"{out}/batch=*")
-
-
 def windowed_counts(stream: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n) of tumbling windows; later events than ``late`` behind the newest are dropped."""
     g = stream.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"))
