@@ -133,6 +133,54 @@ def segment_score(c: Column) -> Column:
     return reduce(lambda a, b: a + b, [sign(p, n) for p, n in rules], F.when(F.length(c) > 100, -3).otherwise(0))
 
 
+#: Seconds of 2000-01-01 UTC; smaller epochs are missing fields rather than times. Fixed value.
+LEAST_EPOCH = 946_684_800
+
+
+def to_utc(text: Column, zone: str = "America/New_York") -> Column:
+    """UTC instant of epoch seconds, an ISO date or an ISO time; without an offset it is the wall time of ``zone``. Null otherwise."""
+    t = F.trim(text)
+    t = F.regexp_replace(t, r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d)(?=$|Z|[+-])", "$1:00")
+    wall = F.when(t.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?$"), F.concat(t, F.lit("Z")))
+    stated = F.when(t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)$"), t)
+    epoch = F.when(t.rlike(r"^\d{1,12}$"), t.cast("bigint"))
+    return F.when(epoch >= LEAST_EPOCH, F.timestamp_seconds(epoch)).otherwise(F.coalesce(stated.try_cast("timestamp"), F.to_utc_timestamp(wall.try_cast("timestamp"), zone)))
+
+
+def posting_age(posted: Column, first_seen: Column, now: Column) -> tuple[Column, Column]:
+    """(days, exact): whole days since it was posted, else since it was first seen, which is an upper bound; never below 0."""
+    at, seen = to_utc(posted, "UTC"), to_utc(first_seen, "UTC")
+    secs = F.unix_timestamp(now) - F.unix_timestamp(F.coalesce(at, seen))
+    return F.when(secs.isNotNull(), F.greatest(F.lit(0), F.floor(secs / 86400))), at.isNotNull()
+
+
+#: How a page names a board: platform, pattern, whether a site follows the token. Fixed values.
+BOARDS = (
+    ("greenhouse", r"(?i)(?:boards|job-boards|boards-api)\.greenhouse\.io/(?!embed\b)([A-Za-z0-9_.-]{2,})", False),
+    ("greenhouse", r"(?i)greenhouse\.io/embed/job_board[^\s\"']*?[?&](?:amp;)?for=([A-Za-z0-9_.-]{2,})", False),
+    ("lever", r"(?i)jobs\.(?:eu\.)?lever\.co/([A-Za-z0-9_.-]{2,})", False),
+    ("ashby", r"(?i)jobs\.ashbyhq\.com/([A-Za-z0-9_.-]{2,})", False),
+    ("workable", r"(?i)apply\.workable\.com/([A-Za-z0-9_-]{2,})", False),
+    ("recruitee", r"(?i)([A-Za-z0-9_-]{2,})\.recruitee\.com", False),
+    ("smartrecruiters", r"(?i)(?:careers|jobs)\.smartrecruiters\.com/([A-Za-z0-9_-]{2,})", False),
+    ("workday", r"(?i)([A-Za-z0-9_-]{2,})\.wd\d+\.myworkdayjobs\.com/(?:[a-z]{2}-[A-Z]{2}/)?([A-Za-z0-9_-]{2,})", True),
+    ("bamboohr", r"(?i)([A-Za-z0-9_-]{2,})\.bamboohr\.com/(?:careers|jobs)", False),
+)
+
+
+def board_signatures(page: Column) -> Column:
+    """Array of (platform, token, site) of the boards a page names, each once whatever its case, in order of platform and token."""
+
+    def named(platform: str, pattern: str, sited: bool) -> Column:
+        tokens = F.regexp_extract_all(page, F.lit(pattern), F.lit(1))
+        sites = F.regexp_extract_all(page, F.lit(pattern), F.lit(2)) if sited else F.transform(tokens, lambda t: F.lit(""))
+        return F.zip_with(tokens, sites, lambda t, s: F.struct(F.lit(platform).alias("platform"), F.btrim(t, F.lit(".-")).alias("token"), s.alias("site")))
+
+    rows = F.filter(F.array_sort(F.concat(*[named(*b) for b in BOARDS])), lambda x: F.length(x["token"]) >= 2)
+    same = lambda x, y: (x["platform"] == y["platform"]) & (F.lower(x["token"]) == F.lower(y["token"])) & (F.lower(x["site"]) == F.lower(y["site"]))
+    return F.aggregate(rows, F.slice(rows, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.array_append(acc, x)))
+
+
 def date_chip(last_run: Column, now: Column) -> Column:
     """today, 3days, week or month by the time since the last run; null if it never ran."""
     secs = F.unix_timestamp(now) - F.unix_timestamp(F.try_to_timestamp(last_run, F.lit("yyyy-MM-dd'T'HH:mm:ss")))

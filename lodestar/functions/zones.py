@@ -7,6 +7,7 @@ binary search per value gives the instant; Python's own time zone objects are ne
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 import importlib.metadata
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -76,17 +77,20 @@ def build(name: str, first_year: int = 1900, last_year: int = 2100) -> ZoneTable
 
 @dataclass(frozen=True)
 class ZoneTables:
-    """Tables of several zones under one database version; unknown names are left out."""
+    """Tables of several zones under one database version; names the database doesn't know are in ``unknown``."""
 
     version: str
     tables: dict[str, ZoneTable] = field(default_factory=dict)
+    unknown: tuple[str, ...] = ()
 
     @staticmethod
     def load(names) -> "ZoneTables":
-        tables = {}
+        tables, unknown = {}, []
         for n in sorted({x for x in names if x}):
             try:
                 tables[n] = build(n)
-            except Exception:  # a name the database doesn't know
-                continue
-        return ZoneTables(database_version(), tables)
+            except (KeyError, ValueError, OSError):  # a name the database doesn't know
+                unknown.append(n)
+        if unknown:
+            warnings.warn(f"zones not in the database, their values without a zone state no instant: {', '.join(unknown)}", stacklevel=2)
+        return ZoneTables(database_version(), tables, tuple(unknown))

@@ -116,3 +116,22 @@ def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, draws: int = 200
 def verdict(low: Column, high: Column) -> Column:
     """What an interval of a difference says."""
     return F.when(low.isNull() | high.isNull(), "undefined").when(low > 0, "better").when(high < 0, "worse").otherwise("not distinguishable")
+
+
+def stability(rows: DataFrame, key: str, repeat: str, value: str, k: int, tolerances: Sequence[float] = (0, 5, 10)) -> DataFrame:
+    """One row of how an ordering holds over repeats: mean and least rank correlation and top-k overlap over all pairs of
+    repeats, mean and largest difference, and the share of records whose first two repeats lie within each tolerance.
+
+    Top places go to the higher value, then the smaller key. Repeats are few: every pair of them is one group.
+    """
+    r = rows.select(key, repeat, value).where(F.col(value).isNotNull())
+    top = r.withColumn("__n", F.row_number().over(Window.partitionBy(repeat).orderBy(F.desc(value), key))).select(key, repeat, value, (F.col("__n") <= k).alias("__top"))
+    a, b = (top.select(key, F.col(repeat).alias(f"r{s}"), F.col(value).alias(f"v{s}"), F.col("__top").alias(f"t{s}")) for s in "ab")
+    pairs = a.join(b, key).where("ra < rb").withColumn("__d", F.abs(F.col("va") - F.col("vb")))
+    rho = spearman(pairs, ["ra", "rb"], "va", "vb").agg(F.avg("rho").alias("spearman_mean"), F.min("rho").alias("spearman_min"))
+    over = pairs.groupBy("ra", "rb").agg((F.count_if(F.col("ta") & F.col("tb")) / float(k)).alias("o")).agg(F.avg("o").alias("overlap_mean"), F.min("o").alias("overlap_min"))
+    first = top.groupBy().agg(F.min(repeat).alias("x"))
+    diff = pairs.agg(F.avg("__d").alias("mean_abs_diff"), F.max("__d").alias("max_abs_diff"))
+    second = top.join(F.broadcast(first), F.col(repeat) > F.col("x")).groupBy("x").agg(F.min(repeat).alias("y"))
+    bands = pairs.join(F.broadcast(second), (F.col("ra") == F.col("x")) & (F.col("rb") == F.col("y"))).agg(*[F.avg((F.col("__d") <= t).cast("int")).alias(f"within_{t:g}") for t in tolerances])
+    return rho.crossJoin(over).crossJoin(diff).crossJoin(bands)

@@ -153,12 +153,14 @@ def parse_instants(values: pd.Series, masks: pd.Series, zones: ZoneTables, tz: p
     out = np.full(len(v), NONE, dtype=np.int64)
     worded = ~masks.fillna("").str.contains("9")
     key = masks.fillna("").where(~worded, "w:" + v)
-    chosen: dict[str, tuple[str, re.Pattern] | None] = {}
-    for k, example in zip(key.to_numpy(), v.to_numpy()):
-        # a mask whose first value no parser reads (odd words between the digits) is asked again
-        if chosen.get(k) is None:
+    first = ~key.duplicated()
+    chosen = {k: parser_of(k, example) for k, example in zip(key[first], v[first])}
+    # a mask whose first value no parser reads (odd words between the digits) is asked again, once for each other value
+    again = key.isin([k for k, c in chosen.items() if c is None]) & ~pd.Series(list(zip(key, v)), index=key.index, dtype=object).duplicated()
+    for k, example in zip(key[again], v[again]):
+        if chosen[k] is None:
             chosen[k] = parser_of(k, example)
-    kinds = key.map(lambda k: chosen[k][0] if chosen[k] else "")
+    kinds = key.map({k: c[0] if c else "" for k, c in chosen.items()})
     for kind, regex in PARSERS:
         sel = (kinds == kind).to_numpy()
         if not sel.any():
@@ -221,3 +223,11 @@ def normalize_timestamps(rows: DataFrame, platforms: DataFrame, key: str = "id",
 def mask_profile(rows: DataFrame, column: str) -> DataFrame:
     """(mask, values): how often each shape occurs, most frequent first: what a new source writes."""
     return rows.where(F.col(column).isNotNull()).groupBy(mask(F.col(column)).alias("mask")).agg(F.count("*").alias("values"))
+
+
+def unknown_zones(rows: DataFrame, platforms: DataFrame, platform: str = "platform", wall_field: str = "posted_at") -> DataFrame:
+    """(platform, tz_name, values): values of platforms whose zone is missing or not in the database; those without a zone of their own state no instant."""
+    p = platforms.select("platform", "tz_name").dropDuplicates(["platform"])
+    known = set(ZoneTables.load([r[0] for r in bounded_rows(p.select("tz_name").distinct(), MAX_PLATFORMS, "platform zones")]).tables)
+    x = rows.where(F.col(wall_field).isNotNull()).groupBy(F.col(platform).alias("platform")).agg(F.count("*").alias("values"))
+    return x.join(small_side(p), "platform", "left").where(F.col("tz_name").isNull() | ~F.col("tz_name").isin(sorted(known))).select("platform", "tz_name", "values")

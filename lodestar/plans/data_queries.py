@@ -17,6 +17,10 @@ def p2_shapes(spark: SparkSession, folder: str) -> DataFrame:
     return timestamps.mask_profile(table(spark, folder, "jobs"), "posted_at")
 
 
+def p2_unknown_zones(spark: SparkSession, folder: str) -> DataFrame:
+    return timestamps.unknown_zones(table(spark, folder, "jobs"), table(spark, folder, "platforms"))
+
+
 def snapshot_hash():
     """Row hash of a posting: its content hash and closing instant, however written."""
     return snapshots.row_hash([snapshots.plain(F.col("content_hash")), snapshots.instant(F.col("closed_at"))])
@@ -35,7 +39,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return units.yearly_pay(table(spark, folder, "jobs_app"), table(spark, folder, "fx_rates"), table(spark, folder, "pay_units"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shapes, p4_found, p4_intervals, p5_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shapes, p2_unknown_zones, p4_found, p4_intervals, p5_found)}
 
 _HELD = r"""
 WITH rows AS (
@@ -51,6 +55,9 @@ ORACLE = {
     "p2_shapes": r"""
 SELECT regexp_replace(regexp_replace(regexp_replace(trim(posted_at), '\p{N}', '9', 'g'), '\p{L}+', 'a', 'g'), '\s+', ' ', 'g') AS mask, count(*) AS "values"
 FROM jobs WHERE posted_at IS NOT NULL GROUP BY 1""",
+    "p2_unknown_zones": """
+SELECT j.platform, p.tz_name, count(*) AS "values" FROM jobs j LEFT JOIN platforms p USING (platform)
+WHERE j.posted_at IS NOT NULL AND (p.tz_name IS NULL OR p.tz_name NOT IN (SELECT name FROM pg_timezone_names())) GROUP BY 1, 2""",
     "p4_found": _HELD
     + """
 , nos AS (SELECT DISTINCT snapshot_no, ord FROM held),

@@ -204,10 +204,16 @@ def f20_comp_label(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", S.comp_label(low, high, F.col("o_orderpriority")).alias("label"))
 
 
-@query(f"WITH {POSTINGS}, s AS (SELECT DISTINCT id, regexp_extract(job_url, '^https?://([^/?#]+)', 1) AS host, lower(regexp_extract(job_url, '^https?://[^/]+/([^/?#]+)', 1)) AS token FROM postings WHERE job_url IS NOT NULL) SELECT host, count(DISTINCT token) AS tokens, count(*) AS n FROM s GROUP BY 1")
+@query("""WITH c AS (SELECT company_id, trim(regexp_extract(company_token, '^[A-Za-z0-9_-]{2,}'), '.-') AS t, company_id % 4 AS k FROM companies WHERE company_token IS NOT NULL)
+SELECT company_id, unnest(CASE k WHEN 0 THEN ['ashby', 'lever'] WHEN 1 THEN ['greenhouse'] WHEN 2 THEN ['workday'] ELSE ['recruitee', 'workable'] END) AS platform, t AS token, CASE k WHEN 2 THEN 'Careers' ELSE '' END AS site FROM c WHERE length(t) > 1""")
 def f21_board_signatures(spark: SparkSession, d: str) -> DataFrame:
-    s = postings(spark, d, "job_url").where("job_url is not null").select(F.regexp_extract("job_url", "^https?://([^/?#]+)", 1).alias("host"), F.lower(F.regexp_extract("job_url", "^https?://[^/]+/([^/?#]+)", 1)).alias("token"))
-    return s.groupBy("host").agg(F.countDistinct("token").alias("tokens"), F.count("*").alias("n"))
+    """Boards named by pages that link each of them more than once, in different case."""
+    c = table(spark, d, "companies").where("company_token is not null").select("company_id", F.regexp_extract("company_token", "^[A-Za-z0-9_-]{2,}", 0).alias("t"), (F.col("company_id") % 4).alias("k"))
+    link = lambda pattern: F.format_string(pattern, F.col("t"))
+    two = lambda p: F.concat(link(p), F.lit(" "), F.lower(link(p)))
+    page = F.when(F.col("k") == 0, F.concat(two('<a href="https://jobs.lever.co/%s">'), two('"https://jobs.ashbyhq.com/%s"'))).when(F.col("k") == 1, two("https://boards.greenhouse.io/embed/job_board?b=1&amp;for=%s'"))
+    page = page.when(F.col("k") == 2, F.concat(link("https://%s.wd5.myworkdayjobs.com/en-US/Careers "), link("//%s.WD5.myworkdayjobs.com/careers"))).otherwise(F.concat(link("https://%s.recruitee.com/o/x "), two("https://apply.workable.com/%s/j/1")))
+    return c.where(F.length(F.btrim("t", F.lit(".-"))) > 1).select("company_id", F.explode(S.board_signatures(page)).alias("x")).select("company_id", "x.platform", "x.token", "x.site")
 
 
 @query(f"WITH {POSTINGS}, o AS (SELECT DISTINCT regexp_extract(job_url, '^(https?://[^/?#]+)', 1) AS origin FROM postings WHERE job_url IS NOT NULL) SELECT origin, unnest([origin || '/careers', origin || '/jobs', origin || '/about/careers']) AS url FROM o")
@@ -253,6 +259,14 @@ def f32_to_utc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.unix_timestamp(F.to_utc_timestamp(F.col("o_orderdate").cast("timestamp"), "America/New_York")).alias("utc"))
 
 
+INSTANTS = [("2026-01-15T09:30:00", "1768487400"), ("2026-07-15", "1784088000"), ("1752570000", "1752570000"), ("5", None), ("2026-01-15T09:30:00+02:00", "1768462200"), ("2026-01-15T09:30:00Z", "1768469400"), ("junk", None), ("  ", None), (" 2026-01-15 09:30:00.25 ", "1768487400"), ("2026-02-30", None), ("2026-01-15T09:30", "1768487400")]
+
+
+@query(_wanted([{"utc": w} for _, w in INSTANTS]))
+def f32_cases(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, d, [r for r, _ in INSTANTS]).select("n", F.unix_timestamp(S.to_utc(F.col("raw"))).cast("string").alias("utc"))
+
+
 @query("SELECT company_id, round(date_diff('second', first_validated_at, TIMESTAMP '2026-11-20 12:00:00') / 86400.0, 6) AS days FROM companies")
 def f33_days_since(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "companies").select("company_id", F.round(F.expr(f"timestampdiff(SECOND, first_validated_at, timestamp_ntz'{NOW}') / 86400.0"), 6).cast("double").alias("days"))
@@ -306,10 +320,18 @@ def f40_rfc822(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.unix_timestamp(F.try_to_timestamp(F.substring("first_seen", 6, 100), F.lit("dd MMM yyyy HH:mm:ss Z"))).alias("utc"))
 
 
-@query(f"WITH {POSTINGS}, x AS (SELECT id, greatest(0, date_diff('second', try_strptime(last_seen, '%Y-%m-%dT%H:%M:%S'), TIMESTAMP '{NOW}') // 86400) AS days FROM postings) SELECT id, days::BIGINT AS days, days > 30 AS stale FROM x")
+_ISO = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?"
+
+
+@query(rf"""WITH {POSTINGS}, r AS (SELECT id, trim(posted_at) AS p, trim(first_seen) AS f FROM postings),
+x AS (SELECT id, CASE WHEN regexp_matches(p, '{_ISO}$') THEN epoch(TRY_CAST(p || 'Z' AS TIMESTAMPTZ)) WHEN regexp_matches(p, '{_ISO}(Z|[+-]\d\d:\d\d)$') THEN epoch(TRY_CAST(p AS TIMESTAMPTZ)) WHEN regexp_matches(p, '^\d{{4}}-\d\d-\d\d$') THEN epoch(TRY_CAST(p || 'T00:00:00Z' AS TIMESTAMPTZ)) WHEN regexp_matches(p, '^\d{{1,12}}$') AND TRY_CAST(p AS BIGINT) >= 946684800 THEN TRY_CAST(p AS DOUBLE) END AS a,
+ CASE WHEN regexp_matches(f, '{_ISO}$') THEN epoch(TRY_CAST(f || 'Z' AS TIMESTAMPTZ)) WHEN regexp_matches(f, '{_ISO}(Z|[+-]\d\d:\d\d)$') THEN epoch(TRY_CAST(f AS TIMESTAMPTZ)) WHEN regexp_matches(f, '^\d{{4}}-\d\d-\d\d$') THEN epoch(TRY_CAST(f || 'T00:00:00Z' AS TIMESTAMPTZ)) WHEN regexp_matches(f, '^\d{{1,12}}$') AND TRY_CAST(f AS BIGINT) >= 946684800 THEN TRY_CAST(f AS DOUBLE) END AS b FROM r),
+y AS (SELECT id, a IS NOT NULL AS exact, greatest(0, floor((epoch(TIMESTAMP '{{NOW}}') - floor(coalesce(a, b))) / 86400))::BIGINT AS days FROM x WHERE coalesce(a, b) IS NOT NULL)
+SELECT id, days, exact, days > 30 AS stale FROM y""".replace("{NOW}", NOW))
 def f41_posting_age(spark: SparkSession, d: str) -> DataFrame:
-    secs = F.unix_timestamp(now()) - F.unix_timestamp(F.try_to_timestamp("last_seen", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
-    return postings(spark, d, "last_seen").select("id", F.when(secs.isNotNull(), F.greatest(F.lit(0), F.floor(secs / 86400))).cast("bigint").alias("days")).withColumn("stale", F.col("days") > 30)
+    """Age by the posting's own date, else by when it was first seen, and whether it is stale."""
+    days, exact = S.posting_age(F.col("posted_at"), F.col("first_seen"), now())
+    return postings(spark, d, "posted_at", "first_seen").select("id", days.cast("bigint").alias("days"), exact.alias("exact")).where("days is not null").withColumn("stale", F.col("days") > 30)
 
 
 @query("SELECT c_custkey, CAST(greatest(0, least(100, round_even(c_acctbal / 50, 0))) AS INT) AS score FROM customer")

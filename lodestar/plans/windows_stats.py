@@ -366,12 +366,17 @@ def r9_verdict(spark: SparkSession, d: str) -> DataFrame:
     return x.select("g", stats.verdict(F.col("m") - F.col("h"), F.col("m") + F.col("h")).alias("verdict"))
 
 
-@query("WITH p AS (SELECT a.id, abs(a.snapshot_no - b.snapshot_no) AS apart, a.content_hash = b.content_hash AS same FROM job_snapshots a JOIN job_snapshots b ON a.id = b.id AND a.snapshot_no = 1 AND b.snapshot_no IN (2, 3)) SELECT apart, count(*) AS pairs, round(avg(same::INT), 6) AS within FROM p GROUP BY 1")
+@query("""WITH v AS (SELECT l_orderkey AS id, l_linenumber AS r, l_quantity::DOUBLE AS v FROM lineitem WHERE l_linenumber <= 3),
+t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY v DESC, id) <= 50 AS top FROM v), p AS (SELECT a.r AS ra, b.r AS rb, a.v AS va, b.v AS vb, a.top AS ta, b.top AS tb FROM t a JOIN t b USING (id) WHERE a.r < b.r),
+k AS (SELECT *, rank() OVER (PARTITION BY ra, rb ORDER BY va) + (count(*) OVER (PARTITION BY ra, rb, va) - 1) / 2.0 AS x, rank() OVER (PARTITION BY ra, rb ORDER BY vb) + (count(*) OVER (PARTITION BY ra, rb, vb) - 1) / 2.0 AS y FROM p),
+g AS (SELECT ra, rb, corr(x, y) AS rho, count(*) FILTER (WHERE ta AND tb) / 50.0 AS o FROM k GROUP BY 1, 2)
+SELECT (SELECT round(avg(rho), 6) FROM g) AS spearman_mean, (SELECT round(min(rho), 6) FROM g) AS spearman_min, (SELECT round(avg(o), 6) FROM g) AS overlap_mean, (SELECT round(min(o), 6) FROM g) AS overlap_min, round(avg(abs(va - vb)), 6) AS mean_abs_diff, max(abs(va - vb)) AS max_abs_diff,
+ round(avg((abs(va - vb) <= 0)::INT) FILTER (WHERE ra = 1 AND rb = 2), 6) AS within_0, round(avg((abs(va - vb) <= 5)::INT) FILTER (WHERE ra = 1 AND rb = 2), 6) AS within_5, round(avg((abs(va - vb) <= 10)::INT) FILTER (WHERE ra = 1 AND rb = 2), 6) AS within_10 FROM p""")
 def r10_stability(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "job_snapshots").where("snapshot_no in (1, 2, 3)").select("id", "snapshot_no", "content_hash")
-    a = s.where("snapshot_no = 1").select("id", F.col("content_hash").alias("h"))
-    p = s.where("snapshot_no > 1").join(a, "id")
-    return p.groupBy((F.col("snapshot_no") - 1).alias("apart")).agg(F.count("*").alias("pairs"), F.round(F.avg((F.col("content_hash") == F.col("h")).cast("int")), 6).alias("within"))
+    """Quantities of an order's first three lines taken as three passes over the same records."""
+    v = table(spark, d, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("v"))
+    x = stats.stability(v, "l_orderkey", "l_linenumber", "v", 50)
+    return x.select(*[c if c == "max_abs_diff" else F.round(c, 6).alias(c) for c in x.columns])
 
 
 @query(f"WITH {POSTINGS}, a AS (SELECT job_id, field, lower(trim(value)) AS v FROM eval_labels WHERE round_no = 1), c AS (SELECT platform, field, job_id, v, count(*) AS c FROM a JOIN postings p ON p.id = a.job_id WHERE v IS NOT NULL GROUP BY ALL), i AS (SELECT platform, field, job_id, sum(c) AS m, sum(c * (c - 1)) AS same FROM c GROUP BY ALL HAVING sum(c) > 1) SELECT platform, field, count(*) AS items, round(avg(same / (m * (m - 1))), 6) AS pairwise FROM i GROUP BY 1, 2")
@@ -401,11 +406,14 @@ def r16_field_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return k.join(f, "id", "left").groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("s") == F.col("key")).alias("right"))
 
 
-@query(f"WITH {SCORED}, y AS (SELECT *, role_archetype IN ('backend', 'data') AS good FROM scored), a AS (SELECT good FROM y ORDER BY match_score DESC, id LIMIT 50), b AS (SELECT good FROM y ORDER BY first_seen DESC NULLS LAST, id LIMIT 50) SELECT 'rules' AS baseline, count(*) FILTER (WHERE good) AS hits FROM a UNION ALL SELECT 'recency', count(*) FILTER (WHERE good) FROM b")
+@query(f"WITH {SCORED}, y AS (SELECT *, role_archetype IN ('backend', 'data') AS good FROM scored), a AS (SELECT good FROM y ORDER BY match_score DESC, id LIMIT 50), b AS (SELECT good FROM y ORDER BY first_seen DESC NULLS LAST, id LIMIT 50) SELECT 'rules' AS baseline, (count(*) FILTER (WHERE good))::DOUBLE AS hits FROM a UNION ALL SELECT 'recency', count(*) FILTER (WHERE good) FROM b UNION ALL SELECT 'random', round(least(50, count(*)) * avg(coalesce(good, false)::INT), 6) FROM y")
 def r17_baselines(spark: SparkSession, d: str) -> DataFrame:
     y = scored(spark, d).select("id", "match_score", "first_seen", F.coalesce(F.col("role_archetype").isin("backend", "data"), F.lit(False)).alias("good"))
-    a = y.orderBy(F.desc("match_score"), "id").limit(50).agg(F.lit("rules").alias("baseline"), F.count_if("good").alias("hits"))
-    return a.unionByName(y.orderBy(F.desc_nulls_last("first_seen"), "id").limit(50).agg(F.lit("recency").alias("baseline"), F.count_if("good").alias("hits")))
+    a = y.orderBy(F.desc("match_score"), "id").limit(50).agg(F.lit("rules").alias("baseline"), F.count_if("good").cast("double").alias("hits"))
+    b = y.orderBy(F.desc_nulls_last("first_seen"), "id").limit(50).agg(F.lit("recency").alias("baseline"), F.count_if("good").cast("double").alias("hits"))
+    # the mean over all random draws of that many rows, exactly
+    c = y.agg(F.lit("random").alias("baseline"), F.round(F.least(F.lit(50), F.count("*")) * F.avg(F.col("good").cast("int")), 6).alias("hits"))
+    return a.unionByName(b).unionByName(c)
 
 
 @query("SELECT ats, round(count(company_token)::DOUBLE / count(*) * sum(coalesce(open_jobs, 0)) / 45.0 * 0.3, 6) AS per_day FROM companies GROUP BY 1")
