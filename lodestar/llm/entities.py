@@ -30,7 +30,7 @@ from lodestar.session import materialize
 #: spelling leave a cosine down to 0.2, since the grams they make are rare and weigh most; the edit check decides.
 SIZES, COSINE, LINKAGE, EDITS = (3, 4), 0.2, 0.2, 0.75
 #: Forms of one block of a gram's list: a gram of more forms is joined block by block, so that no task gets it whole.
-HOT = 2_000
+HOT = 10_000
 
 _PARTS = "id bigint, name_form string, token_form string, founder string, initial string, trade string, legal string, token string, whole string"
 

@@ -75,7 +75,7 @@ def test_names_too_short_for_a_vector(spark):
     assert sorted(tuple(r) for r in entities.members(links).collect())[:4] == [(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 3, 2)]
 
 
-@pytest.mark.parametrize("hot", [2_000, 3])
+@pytest.mark.parametrize("hot", [10_000, 3])
 def test_similarity_join_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(entities, "HOT", hot)
     rng = random.Random(5)
