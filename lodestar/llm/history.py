@@ -48,6 +48,8 @@ WORDS, TREES, BITS, RECALL = 4, 16, (16, 16), 0.999
 COVERAGE = 0.7
 #: Rows of a file of a run; runs of about equal size that are merged into one; most batches of one call.
 FILE_ROWS, MERGE_RUNS, MAX_BATCHES = 1_000_000, 4, 100_000
+#: How many rows of a run a text counts as, for the size of its file.
+TEXT_WEIGHT = 16
 #: Number of files up to which all are opened, since asking which are touched would take longer (same result either way).
 PRUNE_ABOVE = 16
 
@@ -274,7 +276,7 @@ class Forest:
         return [t for t in self.tables if t["kind"] == kind]
 
     def _add(self, kind: str, df: DataFrame, key: str, rows: int, replaces: tuple = ()) -> int:
-        """Write ``df`` as a sorted table in files of about ``file_rows`` rows and note their ranges of ``key``; (rows written)."""
+        """Write ``df``, of about ``rows`` rows, as a sorted table in files of about ``file_rows`` rows and note their ranges of ``key``; (rows written)."""
         path, n = self._fresh(kind), max(1, math.ceil(rows / self.file_rows))
         df = df.repartitionByRange(n, key) if n > 1 else df.coalesce(1)
         df.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
@@ -337,19 +339,20 @@ class Forest:
             heads = heads.withColumn("old", F.lit(None).cast("bigint"))
         else:
             heads = known.groupBy(F.col("key").alias("exact")).agg(F.min("no").alias("old")).join(heads, "exact", "right")
-        self._add("exact", heads.select(F.col("exact").alias("key"), "ctx", F.coalesce("old", "head").alias("no"), F.col("old").isNull().alias("fresh")), "key", 0)
+        self._add("exact", heads.select(F.col("exact").alias("key"), "ctx", F.coalesce("old", "head").alias("no"), F.col("old").isNull().alias("fresh")), "key", 2 * recs.count())
         exact = self._of("exact")[-1]
         fresh, heads = exact["rows"], self.spark.read.schema("key bigint, ctx bigint, no bigint, fresh boolean").parquet(exact["path"])
         entering = _hinted(heads.where("fresh").groupBy("no").agg(F.collect_set("ctx").alias("ctxs")), fresh, 64)
         texts = recs.join(entering, "no")
         copies = keyed.join(_hinted(heads.select(F.col("key").alias("exact"), F.col("no").alias("first")), exact["rows"], 16), "exact").where("no <> first")
         copies = copies.select(F.least("no", "first").alias("first"), F.greatest("no", "first").alias("again")).distinct()
-        kept = self._add("text", texts.select("no", "grams", "words", "employer", "family", "role"), "no", fresh)
+        kept = self._add("text", texts.select("no", "grams", "words", "employer", "family", "role"), "no", fresh * TEXT_WEIGHT)
         if kept:
             self._add("tree", _tree_keys(texts.select("no", F.explode("ctxs").alias("ctx"), "sig")), "key", fresh * TREES)
             copies = self._search(work, copies)
         if copies is not None:
-            self._add("link", copies, "first", 0)
+            self.tables.append({"kind": "link", "path": self._fresh("link"), "rows": None, "files": []})
+            copies.write.mode("overwrite").parquet(self.tables[-1]["path"])
         mine = [t["path"] for t in self._of("link")[before:]]
         self._merge()
         self.count += 1
