@@ -69,11 +69,23 @@ def similar_forms(forms: DataFrame, cosine: float = COSINE, edits: float = EDITS
     spelled = forms.select("form", F.replace("form", F.lit(" "), F.lit("")).alias("flat"), F.array_join(F.reverse(F.split("form", " ")), "").alias("turned"))
     spelled = spelled.withColumn("bits", bigram_bits("flat"))
     prefix = vectors.withColumn("left", F.sqrt(F.greatest(1 - used, F.lit(0.0)))).where(F.col("left") >= cosine - 1e-9).select("form", "gram", "left", F.ceil(F.col("df") / HOT).cast("int").alias("blocks")).join(spelled, "form")
-    a = prefix.select(F.col("form").alias("u"), "gram", F.pmod(F.xxhash64("form"), "blocks").cast("int").alias("block"), F.col("left").alias("lu"), F.col("flat").alias("fu"), F.col("turned").alias("tu"), F.col("bits").alias("mu"))
-    b = prefix.select(F.col("form").alias("v"), "gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("left").alias("lv"), F.col("flat").alias("fv"), F.col("turned").alias("tv"), F.col("bits").alias("mv"))
+    prefix = materialize(prefix, "prefixes")
+
+    def ends(p: DataFrame, block_u: Column, block_v: Column) -> tuple[DataFrame, DataFrame]:
+        a = p.select(F.col("form").alias("u"), "gram", block_u.alias("block"), F.col("left").alias("lu"), F.col("flat").alias("fu"), F.col("turned").alias("tu"), F.col("bits").alias("mu"))
+        b = p.select(F.col("form").alias("v"), "gram", block_v.alias("block"), F.col("left").alias("lv"), F.col("flat").alias("fv"), F.col("turned").alias("tv"), F.col("bits").alias("mv"))
+        return a, b
+
     # the first gram two vectors share bounds their cosine by what is left of each from there on
-    bound = (F.col("lu") * F.col("lv") >= cosine - 1e-9) & (F.col("u") < F.col("v"))
-    pairs = a.join(b, ["gram", "block"]).where(bound & close_spelling(edits)).select("u", "v").distinct()
+    close = (F.col("lu") * F.col("lv") >= cosine - 1e-9) & (F.col("u") < F.col("v")) & close_spelling(edits)
+    rare = prefix.where("blocks = 1")
+    a, b = ends(rare, F.lit(0), F.lit(0))
+    pairs = a.drop("block").join(b.drop("block"), "gram").where(close).select("u", "v")
+    frequent = prefix.where("blocks > 1")
+    if frequent.limit(1).count():
+        a, b = ends(frequent, F.pmod(F.xxhash64("form"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = pairs.unionByName(a.join(b, ["gram", "block"]).where(close).select("u", "v"))
+    pairs = pairs.distinct()
     packed = vectors.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("vec"))
     x = pairs.join(packed.select(F.col("form").alias("u"), F.col("vec").alias("vu")), "u").join(packed.select(F.col("form").alias("v"), F.col("vec").alias("vv")), "v")
     dot = F.aggregate(F.map_entries("vu"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("vv", e["key"]), F.lit(0.0)))
