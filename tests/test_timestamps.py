@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lodestar.functions import zones
-from lodestar.operators.timestamps import days_from_civil, mask_profile, normalize_timestamps
+from lodestar.operators.timestamps import days_from_civil, mask_profile, normalize_timestamps, unknown_zones
 
 SCHEMA = "id string, platform string, posted_at string, first_seen string"
 PLATFORMS = [("us", "America/New_York", False), ("de", "Europe/Berlin", True), ("in", "Asia/Kolkata", True)]
@@ -83,3 +83,18 @@ def test_civil_days():
     d = np.array([1, 29, 1, 31, 29, 29])
     got = days_from_civil(y, m, d)
     assert got[0] == 0 and got[1] == 11016 and (got[[2, 3, 5]] < -(10**12)).all() and got[4] == 19782
+
+
+def test_unknown_zones_are_reported(spark):
+    df = spark.createDataFrame([("1", "mars", "2026-01-05T10:00:00", None), ("2", "mars", "2026-01-05T10:00:00Z", None), ("3", "us", "2026-01-05T10:00:00", None), ("4", "none", "2026-01-05", None), ("5", "mars", None, None)], SCHEMA)
+    p = spark.createDataFrame([("us", "America/New_York", False), ("mars", "Mars/Base", False)], "platform string, tz_name string, day_first boolean")
+    with pytest.warns(UserWarning, match="Mars/Base"):
+        got = {r.id: r.utc_seconds for r in normalize_timestamps(df, p).collect()}
+    assert got == {"2": utc(2026, 1, 5, 10), "3": utc(2026, 1, 5, 15)}
+    with pytest.warns(UserWarning):
+        assert sorted(tuple(r) for r in unknown_zones(df, p).collect()) == [("mars", "Mars/Base", 2), ("none", None, 1)]
+
+
+def test_a_mask_is_asked_again_for_other_values(spark):
+    got = run(spark, [("us", "seen 5 odd 2026", None), ("us", "Jan 5 odd 2026", None), ("us", "2026-01-05 10:00", None), ("us", "2026-01-05 10:00", None)])
+    assert {k[0] for k in got if k[1] == "posted_at"} >= {"2", "3"}
