@@ -329,8 +329,8 @@ class Forest:
                 rows = rows.groupBy("key").agg(F.min("no").alias("no")) if kind == "exact" else rows
                 self._add(kind, rows, "key", sum(t["rows"] for t in full), tuple(full))
 
-    def ingest(self, recs: DataFrame) -> DataFrame:
-        """Accept a batch of :func:`records`; (first, again) links of its records with earlier ones or each other."""
+    def ingest(self, recs: DataFrame, rows: int | None = None) -> DataFrame:
+        """Accept a batch of :func:`records`, of ``rows`` rows if that is known; (first, again) links of its records with earlier ones or each other."""
         work, before = f"{self.folder}/work-{self.count}", len(self._of("link"))
         keyed, probe = _contexts(recs), F.col("exact")
         heads = keyed.groupBy("exact", "ctx").agg(F.min("no").alias("head"))
@@ -339,7 +339,7 @@ class Forest:
             heads = heads.withColumn("old", F.lit(None).cast("bigint"))
         else:
             heads = known.groupBy(F.col("key").alias("exact")).agg(F.min("no").alias("old")).join(heads, "exact", "right")
-        self._add("exact", heads.select(F.col("exact").alias("key"), "ctx", F.coalesce("old", "head").alias("no"), F.col("old").isNull().alias("fresh")), "key", 2 * recs.count())
+        self._add("exact", heads.select(F.col("exact").alias("key"), "ctx", F.coalesce("old", "head").alias("no"), F.col("old").isNull().alias("fresh")), "key", 2 * (recs.count() if rows is None else rows))
         exact = self._of("exact")[-1]
         fresh, heads = exact["rows"], self.spark.read.schema("key bigint, ctx bigint, no bigint, fresh boolean").parquet(exact["path"])
         entering = _hinted(heads.where("fresh").groupBy("no").agg(F.collect_set("ctx").alias("ctxs")), fresh, 64)
@@ -428,10 +428,10 @@ def repeated_postings(postings: DataFrame, number: str = "posting_no", batch_no:
     batch = F.coalesce(F.col(batch_no).cast("bigint"), F.lit(-(1 << 62))).alias("__batch")
     records(postings.select(F.col(number), batch, token, name, title, text), number, "__batch", token, name, title, text).write.partitionBy("batch").parquet(path)
     staged = spark.read.schema(_RECORD).parquet(path)
-    numbers = sorted(r[0] for r in bounded_rows(staged.select("batch").distinct(), MAX_BATCHES, "batches"))
+    sizes = {r["batch"]: r["count"] for r in bounded_rows(staged.groupBy("batch").count(), MAX_BATCHES, "batches")}
     forest = Forest(spark, folder)
-    for n in numbers:
-        forest.ingest(staged.where(F.col("batch") == n))
+    for n in sorted(sizes):
+        forest.ingest(staged.where(F.col("batch") == n), sizes[n])
     linked = components(forest.links(), "first", "again")
     drop_path(spark, path)
     return linked.where("node <> component").select(F.col("component").alias("posting_no_first"), F.col("node").alias("posting_no_again"))
