@@ -167,3 +167,25 @@ def test_crawl_guards_retries_and_config(spark):
     with pytest.raises(OSError):
         feeds.with_retries(lambda: (_ for _ in ()).throw(OSError()), max_retries=1)
     assert feeds.without_comments({"_note": 1, "a": [{"_b": 2, "c": 3}]}) == {"a": [{"c": 3}]}
+
+
+def test_equal_documents_are_compared_once(spark, monkeypatch):
+    texts = ["red iron bolt", "iron bolt red", "red iron plate", "old steel nut"]
+    docs = [(i, texts[i % 4]) for i in range(40)] + [(None, "red iron bolt")]
+    v = textmine.tfidf(textmine.terms(spark.createDataFrame(docs, "k int, t string"), "k", "t"), "k", max_share=0.9).cache()
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = materialize(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(textmine, "materialize", keep)
+    monkeypatch.setattr(textmine, "BLOCK", 3)
+    for least in (0.2, 0.95):
+        got = sorted((r.a, r.b, round(r.sim, 9)) for r in textmine.cosine_pairs(v, "k", least).collect())
+        vec = {}
+        for r in v.where("k is not null").collect():
+            vec.setdefault(r.k, {})[r.term] = r.w
+        sims = [(a, b, round(sum(w * vec[b].get(t, 0) for t, w in vec[a].items()), 9)) for a in vec for b in vec if a < b]
+        assert got == sorted(x for x in sims if x[2] >= least)
+        assert kept["different"].select("g").distinct().count() == 3  # of 40
