@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestar.session import scratch
+from lodestar.session import materialize, scratch
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -25,16 +25,21 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("job_id", F.get_json_object("props", "$.k").cast("bigint"))
 
 
+#: Most events of one file of arrivals, about.
+FILE_ROWS = 1_000_000
+
+
 def arrivals(spark: SparkSession, df: DataFrame, parts: int = 3) -> DataFrame:
     """``df`` (with ``ts``) as a stream that brings it in ``parts`` triggers in time order and ends with an empty event a month later, which moves the watermark past all others."""
-    path, t = scratch(spark, "arrivals"), F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = df.agg(F.percentile_approx(t, [i / parts for i in range(1, parts)]).alias("c"), F.max("ts").alias("end")).first()
+    df, path, t = materialize(df, "events"), scratch(spark, "arrivals"), F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(t, [i / parts for i in range(1, parts)]).alias("c"), F.max("ts").alias("end"), F.count("*").alias("n")).first()
     edges = [None, *(cuts["c"] or []), None]
+    files = max(1, round(cuts["n"] / parts / FILE_ROWS))
     for lo, hi in zip(edges, edges[1:]):
-        df.where((F.lit(True) if lo is None else t >= lo) & (F.lit(True) if hi is None else t < hi)).coalesce(1).write.mode("append").parquet(path)
+        df.where((F.lit(True) if lo is None else t >= lo) & (F.lit(True) if hi is None else t < hi)).repartition(files).write.mode("append").parquet(path)
     closing = [F.lit(cuts["end"]).cast("timestamp") + F.expr("interval 30 days")]
     spark.range(1).select(*[(closing[0] if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def rolling_dedupe(stream: DataFrame, window: int = 86_400, late: str = "1 hour") -> DataFrame:
@@ -65,27 +70,20 @@ def rolling_dedupe(stream: DataFrame, window: int = 86_400, late: str = "1 hour"
 
 
 def render_skips(stream: DataFrame, render: list[str], over: int, late: str = "1 hour", item: str = "job_id", rank: str = "rank", event: str = "ev", event_id: str = "event_id") -> DataFrame:
-    """(event_id) of derived skips, keyed by render: a render's events are held until the watermark is ``over`` seconds past its latest one."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, latest = json.loads(state.get[0]) if state.exists else ([], 0)
-        if not state.hasTimedOut:
-            for b in batches:
-                b = b.dropna(subset=["i", "r", "e", "x"])
-                held += [(int(i), int(r), str(e), int(x)) for i, r, e, x in zip(b["i"], b["r"], b["e"], b["x"])]
-                latest = max([latest, *(int(s) for s in b["s"])])
-            state.update((json.dumps((held, latest)),))
-            state.setTimeoutTimestamp(max((latest + over) * 1000, state.getCurrentWatermarkMs() + 1))
-            return
-        opened = max((r for _, r, e, _ in held if e == "open"), default=None)
-        touched = {i for i, _, e, _ in held if e != "impression"}
-        state.remove()
-        yield pd.DataFrame({"event_id": [x for i, r, e, x in held if e == "impression" and opened is not None and r < opened and i not in touched]}, dtype="int64")
+    """(event_id) of derived skips, keyed by render: a render's events are held until the watermark is ``over`` seconds past its latest one.
 
+    A session window per render, without Python, since there are about as many renders as events; events of one render that are ``over`` seconds apart count as two renders.
+    """
     # a filter here would be pushed below the watermark, which must see every event's time
     x = stream.withWatermark("ts", late)
-    x = x.select(*render, F.col(item).alias("i"), F.col(rank).alias("r"), F.col(event).alias("e"), F.col(event_id).alias("x"), F.unix_timestamp("ts").alias("s"), "ts")
-    return x.groupBy(*render).applyInPandasWithState(step, "event_id bigint", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    x = x.select(*render, F.col(item).cast("bigint").alias("i"), F.col(rank).cast("bigint").alias("r"), F.col(event).alias("e"), F.col(event_id).cast("bigint").alias("x"), "ts")
+    whole = F.col("i").isNotNull() & F.col("r").isNotNull() & F.col("e").isNotNull() & F.col("x").isNotNull()
+    opened = F.max(F.when(whole & (F.col("e") == "open"), F.col("r"))).alias("opened")
+    shown = F.collect_list(F.when(whole & (F.col("e") == "impression"), F.struct("i", "r", "x"))).alias("shown")
+    touched = F.collect_set(F.when(whole & (F.col("e") != "impression"), F.col("i"))).alias("touched")
+    held = x.groupBy(*render, F.session_window("ts", f"{over} seconds")).agg(opened, shown, touched)
+    skips = F.filter("shown", lambda s: (s["r"] < F.col("opened")) & ~F.array_contains("touched", s["i"]))
+    return held.select(F.explode(skips).alias("s")).select(F.col("s.x").alias("event_id"))
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:

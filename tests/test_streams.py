@@ -57,3 +57,15 @@ def test_windows_over_triggers(spark, tmp_path, events):
         k = (r[1].replace(minute=0), r[5])
         want[k] = want.get(k, 0) + 1
     assert got == want
+
+
+def test_renders_need_no_python(spark, events, monkeypatch):
+    monkeypatch.setattr(E, "FILE_ROWS", 30)
+    more = [(1000 * u + r[0], r[1], 10 * u + r[2], *r[3:]) for u in range(20) for r in events] + [(9, events[5][1], 1, None, 3, "open", events[5][6])]
+    df = spark.createDataFrame(more, SCHEMA)
+    skips = E.render_skips(E.arrivals(spark, df), ["user_id", "day"], 86_400)
+    plan = skips._jdf.queryExecution().logical().toString().lower()
+    assert "session" in plan and "python" not in plan and "pandas" not in plan
+    got = sorted(r.event_id for r in E.run_available(skips, "s").collect())
+    want = eventlog.derived_skips(df.dropna(), ["user_id", "day"], "job_id", "rank", "ev")
+    assert got == sorted(r.event_id for r in want.collect()) and len(got) > 100
