@@ -2,10 +2,9 @@
 
 Names and tokens are taken apart into founder, family, trade and legal form. The family spellings are
 vectors of character n-grams weighted by inverse document frequency; all pairs with both a cosine of at least
-``COSINE`` and an edit similarity of at least ``EDITS`` are found by a distributed join on the rarest grams of each vector.
-Prefix and position filters are exact and no gram list or number of partners is cut; of the two conditions the cheaper
-one is asked first. Lists of frequent grams are split into blocks of ``HOT`` forms, each joined on its own. Pairs are
-grouped by average linkage. Spellings that stand in one row are one node beforehand. Within a family,
+``COSINE`` and an edit similarity of at least ``EDITS`` are found: those close by edits first, by a distributed join on
+what is left of a piece of a spelling when letters are taken out, then of these the ones with the cosine. The keys are
+exact and no list or number of partners is cut. Pairs are grouped by average linkage. Spellings that stand in one row are one node beforehand. Within a family,
 trade and founder tell employers apart, and where a name leaves them open its token decides.
 
 Defined results: rows whose name is null or initials only are placed by their token; rows without any spelling long
@@ -15,8 +14,10 @@ token leave open between several employers stand alone; equal rows with differen
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,8 @@ from lodestar.session import materialize
 SIZES, COSINE, LINKAGE, EDITS = (3, 4), 0.2, 0.2, 0.75
 #: Forms of one block of a gram's list: a gram of more forms is joined block by block, so that no task gets it whole.
 HOT = 10_000
+#: Edit similarity from which pairs are looked for by spelling; below, so many letters may differ that the grams find them.
+SPELLED = 0.6
 
 _PARTS = "id bigint, name_form string, token_form string, founder string, initial string, trade string, legal string, token string, whole string"
 
@@ -64,6 +67,15 @@ def gram_vectors(forms: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
 def similar_forms(forms: DataFrame, cosine: float = COSINE, edits: float = EDITS, vectors: DataFrame | None = None) -> DataFrame:
     """(u, v, sim): all pairs of forms, u < v, with at least this cosine and edit similarity; ``vectors`` are theirs if at hand."""
     vectors = materialize(gram_vectors(forms), "grams") if vectors is None else vectors
+    pairs = _by_spelling(forms, edits) if edits >= SPELLED else _by_grams(forms, vectors, cosine, edits)
+    packed = vectors.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("vec"))
+    x = pairs.join(packed.select(F.col("form").alias("u"), F.col("vec").alias("vu")), "u").join(packed.select(F.col("form").alias("v"), F.col("vec").alias("vv")), "v")
+    dot = F.aggregate(F.map_entries("vu"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("vv", e["key"]), F.lit(0.0)))
+    return x.select("u", "v", dot.alias("sim")).where(F.col("sim") >= cosine)
+
+
+def _by_grams(forms: DataFrame, vectors: DataFrame, cosine: float, edits: float) -> DataFrame:
+    """(u, v): pairs of forms that may have this cosine and have this edit similarity, by the rarest grams of each vector; lists of frequent grams in blocks."""
     order = Window.partitionBy("form").orderBy("df", "gram")
     used = F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     spelled = forms.select("form", F.replace("form", F.lit(" "), F.lit("")).alias("flat"), F.array_join(F.reverse(F.split("form", " ")), "").alias("turned"))
@@ -85,11 +97,80 @@ def similar_forms(forms: DataFrame, cosine: float = COSINE, edits: float = EDITS
     if frequent.limit(1).count():
         a, b = ends(frequent, F.pmod(F.xxhash64("form"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pairs = pairs.unionByName(a.join(b, ["gram", "block"]).where(close).select("u", "v"))
-    pairs = pairs.distinct()
-    packed = vectors.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("vec"))
-    x = pairs.join(packed.select(F.col("form").alias("u"), F.col("vec").alias("vu")), "u").join(packed.select(F.col("form").alias("v"), F.col("vec").alias("vv")), "v")
-    dot = F.aggregate(F.map_entries("vu"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("vv", e["key"]), F.lit(0.0)))
-    return x.select("u", "v", dot.alias("sim")).where(F.col("sim") >= cosine)
+    return pairs.distinct()
+
+
+def _by_spelling(forms: DataFrame, edits: float) -> DataFrame:
+    """(u, v): all pairs of forms with at least this edit similarity, their words in either order."""
+    flat, turned = F.replace("form", F.lit(" "), F.lit("")), F.array_join(F.reverse(F.split("form", " ")), "")
+    spelled = forms.select("form", F.explode(F.array_distinct(F.array(F.struct(flat.alias("s"), F.lit(True).alias("flat")), F.struct(turned.alias("s"), (turned == flat).alias("flat"))))).alias("x"))
+    spelled = materialize(spelled.select("form", "x.s", "x.flat"), "spelled")
+    near = close_spellings(spelled.groupBy("s").agg(F.max("flat").alias("flat")), edits)
+    # of two turned spellings neither is compared: that is the same as comparing the forms' own
+    u, v = spelled.select(F.col("form").alias("a"), "s", F.col("flat").alias("fa")), spelled.select(F.col("form").alias("b"), F.col("s").alias("t"), F.col("flat").alias("fb"))
+    pairs = near.join(u, "s").join(v, "t").where("a <> b and (fa or fb)")
+    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _pieces(length: int, edits: int) -> list[tuple[int, int, int, str]]:
+    """(start, end, edits, place) of the pieces of a spelling: in any ``edits`` edits of it some piece has no more than its own."""
+    n = edits // 3 + 1
+    cuts = [i * length // n for i in range(n + 1)]
+    each = [(edits - n + 1) // n + (i < (edits - n + 1) % n) for i in range(n)]
+    return [(cuts[i], cuts[i + 1], each[i], "w" if n == 1 else "p" if i == 0 else "s" if i == n - 1 else "m") for i in range(n)]
+
+
+def _less(text: str, letters: int) -> set[str]:
+    """What is left of ``text`` without so many of its letters."""
+    return {"".join(x) for x in combinations(text, len(text) - letters)}
+
+
+def spelling_keys(s: str, least: float) -> tuple[list[str], list[str]]:
+    """Keys of a spelling as the longer and as the shorter one of a pair: close ones share one of the longer's and the shorter's keys.
+
+    A piece of the longer spelling and its counterpart have all but ``b`` letters of the longer of both in common, in order.
+    Counterparts of the first and last piece stand at the shorter one's ends, others up to as many places off as there are edits.
+    """
+    size, most = len(s), lambda n: math.floor((1 - least) * n)
+    own = {place + x for start, end, b, place in _pieces(size, most(size)) for d in range(b + 1) for x in _less(s[start:end], d)}
+    cut = set()
+    length = size
+    while length - size <= most(length):
+        k, d = most(length), length - size
+        more = (k - d) // 2  # letters that the shorter one can have and the longer one not
+        for start, end, b, place in _pieces(length, k):
+            m = end - start
+            for n in range(max(m - min(b, d + more), 0), min(m + min(b, more), size) + 1):
+                starts = {0} if place == "p" else {size - n} if place == "s" else {0} if place == "w" and n == size else set() if place == "w" else range(max(start - k, 0), min(start + k, size - n) + 1)
+                cut |= {(place, s[i : i + n], n - max(m, n) + b) for i in starts}
+        length += 1
+    return sorted(own), sorted({place + x for place, text, letters in cut for x in _less(text, letters)})
+
+
+def close_spellings(spellings: DataFrame, least: float) -> DataFrame:
+    """(s, t): all pairs of spellings (s, flat) with at least this edit similarity, in one order, and each with itself; not those of which neither is flat.
+
+    Candidates share a key of ``spelling_keys``, which leaves eight letters and more to agree in nearly all; a join on single
+    grams compares nearly all pairs where names are made of few syllables.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 500):
+                part = b[i : i + 500]
+                keys = [spelling_keys(s, least) for s in part["s"]]
+                yield pd.DataFrame({"s": part["s"], "flat": part["flat"], "own": [x[0] for x in keys], "cut": [x[1] for x in keys]})
+
+    tasks = int(spellings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = spellings.repartition(tasks, "s").mapInPandas(run, "s string, flat boolean, own array<string>, cut array<string>")
+    keyed = materialize(keyed.withColumn("bits", bigram_bits("s")), "keyed")
+    a = keyed.select(F.col("s"), F.col("flat").alias("fs"), F.col("bits").alias("ms"), F.explode("own").alias("key")).withColumn("key", F.xxhash64("key"))
+    b = keyed.select(F.col("s").alias("t"), F.col("flat").alias("ft"), F.col("bits").alias("mt"), F.explode("cut").alias("key")).withColumn("key", F.xxhash64("key"))
+    longer = (F.length("s") > F.length("t")) | (F.length("s") == F.length("t")) & (F.col("s") < F.col("t"))
+    most = F.floor((1 - least) * F.length("s"))
+    possible = (F.col("fs") | F.col("ft")) & longer & (F.length("s") - F.length("t") <= most) & (F.bit_count(F.col("ms").bitwiseXOR(F.col("mt"))) <= 4 * most)
+    near = a.join(b, "key").where(possible & (F.levenshtein("s", "t") <= most)).select("s", "t").distinct()
+    return near.unionByName(spellings.where("flat").select("s", F.col("s").alias("t")))
 
 
 def bigram_bits(column: str) -> Column:

@@ -148,3 +148,48 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
     assert {got[i] for i in range(41)} == {0} and {got[k] for k in range(100, 160)} == {100}
     assert graphs.components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        nxt = [i + 1]
+        for j, y in enumerate(b):
+            nxt.append(min(row[j] + (x != y), row[j + 1] + 1, nxt[-1] + 1))
+        row = nxt
+    return row[-1]
+
+
+def test_spellings_meet_by_what_edits_leave():
+    rng = random.Random(5)
+    sound = ["mol", "shan", "gur", "jos", "hel", "quin", "bas", "ror", "lin", "ches"]
+    names = ["".join(rng.choice("bdfgkl") + rng.choice("aeiou") for _ in range(rng.choice([1, 3, 3, 5]))) + "".join(rng.choices(sound, k=rng.choice([0, 3, 3, 4]))) for _ in range(250)]
+    for s in names[:150]:
+        for _ in range(rng.randrange(1, len(s) // 4 + 2)):
+            at = rng.randrange(len(s))
+            s = s[:at] + rng.choice(["", "x", s[at] + "o"]) + s[at + 1 :]
+        names.append(s)
+    names = sorted(set(names), key=lambda s: (-len(s), s))
+    keys = [tuple(map(set, entities.spelling_keys(s, 0.75))) for s in names]
+    close = met = 0
+    for i, s in enumerate(names):
+        for j in range(i + 1, len(names)):
+            meet = bool(keys[i][0] & keys[j][1])
+            met += meet
+            if _distance(s, names[j]) <= math.floor(0.25 * len(s)):
+                close += 1
+                assert meet, (s, names[j])
+    assert close > 50 and met < 0.02 * len(names) * (len(names) - 1) / 2  # names of ten sounds nearly all share a gram
+
+
+def test_close_forms_by_spelling_or_grams(spark):
+    names = ["alda morin tesk", "tesk morin alda", "morintesk alda", "aldamorintesk", "aldamorimtesk", "fogu jorhesban", "fogujorhesbam", "jorhesbanfogu", "fogu jorhesbin", "fuga morhelban", "abcd", "abce", "xbce"]
+    forms = spark.createDataFrame([(n,) for n in names], "form string")
+    flat, turned = [n.replace(" ", "") for n in names], ["".join(reversed(n.split(" "))) for n in names]
+    want = set()
+    for i, u in enumerate(names):
+        for j, v in enumerate(names):
+            most = math.floor(0.25 * max(len(flat[i]), len(flat[j])))
+            if u < v and min(_distance(flat[i], flat[j]), _distance(turned[i], flat[j]), _distance(flat[i], turned[j])) <= most:
+                want.add((u, v))
+    assert {(r.u, r.v) for r in entities.similar_forms(forms, 0.0).collect()} == want and len(want) > 8
